@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, site_lines, splitting, tokenizer
+from marlstone.llm import mixing, neardup, site_lines, splitting, tokenizer
 from marlstone.session import ship_package
 from marlstone.sources.tables import read_table
 
@@ -36,12 +36,18 @@ def _shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(mixing.mix(docs, targets, sizes=sizes), targets, sizes)
 
 
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.records_of((_chunks(spark, folder), "chunk_id", "text"), (read_table(spark, folder, "validex_knowledge"), "chunk_id", "content"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: splitting.oversized_boundaries(_chunks(s, d)),
         "p1_pieces": lambda s, d: splitting.split_oversized(_chunks(s, d)),
         "p3_found": lambda s, d: site_lines.repeated_lines(_chunks(s, d)),
         "p3_clean": lambda s, d: site_lines.without_repeated_lines(_chunks(s, d)),
+        "p4_found": lambda s, d: neardup.similar_pairs(_records(s, d)).toDF("chunk_id_a", "chunk_id_b"),
+        "p4_groups": lambda s, d: neardup.similar_groups(_records(s, d)),
         "p6_ids": lambda s, d: tokenizer.with_tokens(_documents(s, d), keep=["doc_id"]),
         "p6_roundtrip": _roundtrip,
         "p7_mix": lambda s, d: mixing.mix(_documents(s, d), read_table(s, d, "mix_targets")),
@@ -50,4 +56,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": splitting.SQL_FOUND, "p3_found": site_lines.SQL_FOUND}
+    return {"p1_found": splitting.SQL_FOUND, "p3_found": site_lines.SQL_FOUND, "p4_found": neardup.SQL_FOUND}
