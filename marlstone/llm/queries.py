@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, neardup, site_lines, splitting, tokenizer
+from marlstone.llm import mixing, neardup, pairs, residue, site_lines, splitting, tokenizer
 from marlstone.session import ship_package
 from marlstone.sources.tables import read_table
 
@@ -40,6 +40,12 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.records_of((_chunks(spark, folder), "chunk_id", "text"), (read_table(spark, folder, "validex_knowledge"), "chunk_id", "content"))
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    chats, report = read_table(spark, folder, "chat_sessions"), read_table(spark, folder, "resilience_report")
+    return pairs.chat_pairs(chats).unionByName(pairs.report_pairs(report))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: splitting.oversized_boundaries(_chunks(s, d)),
@@ -48,10 +54,13 @@ def queries() -> dict[str, Query]:
         "p3_clean": lambda s, d: site_lines.without_repeated_lines(_chunks(s, d)),
         "p4_found": lambda s, d: neardup.similar_pairs(_records(s, d)).toDF("chunk_id_a", "chunk_id_b"),
         "p4_groups": lambda s, d: neardup.similar_groups(_records(s, d)),
+        "p5_found": lambda s, d: pairs.broken_pairs(_pairs(s, d)),
         "p6_ids": lambda s, d: tokenizer.with_tokens(_documents(s, d), keep=["doc_id"]),
         "p6_roundtrip": _roundtrip,
         "p7_mix": lambda s, d: mixing.mix(_documents(s, d), read_table(s, d, "mix_targets")),
         "p7_shares": _shares,
+        "p8_found": lambda s, d: residue.residue_found(_documents(s, d)),
+        "p8_clean": lambda s, d: residue.without_residue(_documents(s, d)),
     }
 
 
