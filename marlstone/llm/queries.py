@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, neardup, pairs, residue, site_lines, splitting, tokenizer
+from marlstone.llm import mixing, neardup, page_body, pairs, residue, site_lines, splitting, tokenizer
 from marlstone.session import ship_package
 from marlstone.sources.tables import read_table
 
@@ -50,6 +50,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: splitting.oversized_boundaries(_chunks(s, d)),
         "p1_pieces": lambda s, d: splitting.split_oversized(_chunks(s, d)),
+        "p2_found": lambda s, d: page_body.furniture_lines(_chunks(s, d)).select("chunk_id", "line_no"),
+        "p2_body": lambda s, d: page_body.main_body(_chunks(s, d)),
         "p3_found": lambda s, d: site_lines.repeated_lines(_chunks(s, d)),
         "p3_clean": lambda s, d: site_lines.without_repeated_lines(_chunks(s, d)),
         "p4_found": lambda s, d: neardup.similar_pairs(_records(s, d)).toDF("chunk_id_a", "chunk_id_b"),
