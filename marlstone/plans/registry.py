@@ -27,11 +27,24 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return enter
 
 
+def _load() -> None:
+    import importlib
+
+    for module in MODULES:
+        importlib.import_module(f"marlstone.plans.{module}")
+
+
+#: Modules whose queries are registered when they are imported.
+MODULES = ["corpus"]
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
 
 
