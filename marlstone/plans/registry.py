@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.sources.tables import read_table
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -35,7 +33,7 @@ def _load() -> None:
 
 
 #: Modules whose queries are registered when they are imported.
-MODULES = ["corpus"]
+MODULES = ["corpus", "prompts", "search"]
 
 
 def queries() -> dict[str, Query]:
@@ -49,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents").select("doc_id", "lang")
+    """Guarded lexical retrieval."""
+    return queries()["lexical_guard"](spark, folder)
