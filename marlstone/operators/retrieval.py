@@ -135,9 +135,13 @@ def guarded(docs: DataFrame, queries: list[Query], least_score: int = 3, least_c
 
 def packed(docs: DataFrame, by: list[str], order: list[Column], estimate: Column, target: int, most: int) -> DataFrame:
     """The longest prefix of each group that fills a token budget: a row stays while the sum before it is under ``target``
-    and, but for the first row, the sum with it is at most ``most``. Adds running_tokens."""
+    and, but for the first row, the sum with it is at most ``most``. Adds running_tokens. Rows without tokens are left out.
+
+    As a row has a token or more, the first ``target`` rows of a group suffice; Spark keeps only these before the
+    shuffle, so a group of any size costs a bounded task.
+    """
     w = W.partitionBy(*by).orderBy(*order)
-    run = docs.withColumn("_e", estimate).withColumn("running_tokens", F.sum("_e").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
+    first = docs.withColumn("_e", estimate).where("_e > 0").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= target)
+    run = first.withColumn("running_tokens", F.sum("_e").over(w.rowsBetween(W.unboundedPreceding, 0)))
     keep = (F.col("running_tokens") - F.col("_e") < target) & ((F.col("_n") == 1) | (F.col("running_tokens") <= most))
-    # beyond the first row over budget nothing can stay, as the sum only grows
     return run.where(keep).drop("_e", "_n")

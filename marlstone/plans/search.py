@@ -142,7 +142,7 @@ _MEDIUM = budget("medium")
 
 @register("context_pack", f"""
 with k as (select chunk_id, topic, authority_score, cast(ceil(length({S.one_line('content')}) / 4.0) as bigint) as e from {_KNOW} where approved and content is not null),
-r as (select *, sum(e) over w as running_tokens, row_number() over w as n from k window w as (partition by topic order by authority_score desc nulls last, chunk_id rows between unbounded preceding and current row))
+r as (select *, sum(e) over w as running_tokens, row_number() over w as n from k where e > 0 window w as (partition by topic order by authority_score desc nulls last, chunk_id rows between unbounded preceding and current row))
 select topic, chunk_id, running_tokens::bigint as running_tokens from r where running_tokens - e < {_MEDIUM[2]} and (n = 1 or running_tokens <= {_MEDIUM[3]})""")
 def context_pack(spark, folder):
     know = latest(read_table(spark, folder, "validex_knowledge"), "chunk_id", F.struct("created_at"), ["chunk_id", "topic", "content", "authority_score", "approved"]).where("approved and content is not null")
