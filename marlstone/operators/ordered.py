@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from marlstone.session import written
 
 
+_KINDS = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+
+
 def numbered(df: DataFrame, order: list[Column], out: str = "row_no") -> DataFrame:
     """``df`` with its rows' places in a total order from 1, without gathering them in one task.
 
@@ -48,10 +51,7 @@ def folded(df: DataFrame, key: str, order: list[str], step: Callable[[Any, dict]
                 rows.append(dict(zip(fields, o)))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(out), timezone="UTC")
+    schema = pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in out.split(", ")])
     return df.select(*names).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, out)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.operators import ranking as R
 from marlstone.operators import retrieval as V
 from marlstone.operators import vectors
 from marlstone.operators.changes import latest
@@ -150,6 +151,30 @@ def context_pack(spark, folder):
     return got.select("topic", "chunk_id", "running_tokens")
 
 
+@register("distinct_results")
+def distinct_results(spark, folder):
+    """The ten best documents of each query without near-duplicates of better ones, with their relevance for it."""
+    docs = _docs(spark, folder)
+    best = V.top_k(V.scored(docs, QUERIES), 10).join(docs.select("doc_id", "text"), "doc_id")
+    kept = R.greedy_distinct(best, "query", "rank", "text", 10)
+    texts = spark.createDataFrame([(x.name, x.text) for x in QUERIES], "query string, topic string")
+    return kept.join(F.broadcast(texts), "query").select("query", "doc_id", "rank", F.round(R.relevance(F.col("topic"), F.col("text")), 6).alias("relevance"))
+
+
+_FW = f"list_distinct({S.words('lower(substr(coalesce(content, {0}), 1, 200))').replace('{0}', chr(39) * 2)})"
+
+
+@register("near_dup_earlier", f"""
+with k as (select chunk_id, source_url, {_FW} as w from {_KNOW} where content is not null),
+p as (select b.chunk_id, min(a.chunk_id) as earlier from k a join k b on a.source_url = b.source_url and a.chunk_id < b.chunk_id
+  where len(a.w) > 0 and len(b.w) > 0 and len(list_intersect(a.w, b.w)) > 0.8 * greatest(len(a.w), len(b.w)) group by b.chunk_id)
+select k.chunk_id, p.earlier from k left join p on k.chunk_id = p.chunk_id""")
+def near_dup_earlier(spark, folder):
+    """Each chunk with the first earlier chunk of its page whose beginning is nearly the same."""
+    know = latest(read_table(spark, folder, "validex_knowledge"), "chunk_id", F.struct("created_at"), ["chunk_id", "source_url", "content"]).where("content is not null")
+    return R.earlier_near_duplicate(know, key="chunk_id", within="source_url", text="content")
+
+
 @register("answer_overlap", f"""
 with t as (select distinct session_id, turn_no, t.user_prompt as p, t.assistant_output as a from (select session_id, unnest(turns) as t, unnest(range(0, len(turns))) as turn_no from chat_sessions)),
 x as (select session_id, turn_no, list_distinct({S.tokens("coalesce(p, '')")}) as p, list_distinct({S.tokens("coalesce(a, '')")}) as a from t)

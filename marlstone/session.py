@@ -58,6 +58,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return to
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a small input in one file would else keep one core busy.
+
+    Larger inputs come in more partitions and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet to the shared scratch folder and read again: later reads
     neither repeat its work nor depend on the executors that did it."""
