@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import strip, words
+from marlstone.functions.text import bound, strip, words
 
 # Keywords of relevant chunks, phrases of page noise, signs of snippets that are no evidence, and function words.
 KEYWORDS = [
@@ -32,8 +32,12 @@ MOST_PROMPT = 10_000
 
 def keyword_hits(text: Column, keywords: list[str] = KEYWORDS) -> Column:
     """How many of the keywords stand in the text, not inside longer ASCII words."""
-    low = F.lower(text)
-    return sum((low.rlike(f"(^|[^a-z0-9]){k}($|[^a-z0-9])").cast("bigint") for k in keywords), F.lit(0).cast("bigint"))
+
+    def hits(low: Column) -> Column:  # the pattern is tried only where the keyword stands at all
+        found = (F.when(F.contains(low, F.lit(k)), low.rlike(f"(^|[^a-z0-9]){k}($|[^a-z0-9])").cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k in keywords)
+        return sum(found, F.lit(0).cast("bigint"))
+
+    return bound(F.lower(text), hits)
 
 
 def word_count(text: Column) -> Column:
@@ -78,15 +82,23 @@ def as_evidence(snippet: Column) -> Column:
 
 def guarded_prompt(text: Column) -> Column:
     """struct(valid, cleaned, reason, removed): control characters and long blank runs removed, then checked for attempts to inject instructions."""
-    s = strip(F.coalesce(text, F.lit("")))
     control = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, control, ""), "[ \t]{10,}", "  "), "\n{4,}", "\n\n\n")
-    attack = F.lit(False)
-    for p in INJECTIONS:
-        attack = attack | c.rlike("(?im)" + p.replace(r"\s", "[ \t\r\n]"))
-    reason = F.when(s == "", "empty").when(F.length(s) > MOST_PROMPT, "too_long").when(attack, "unsafe").when(strip(c) == "", "empty_after_cleaning").otherwise("")
-    out = F.when(s == "", "").when(F.length(s) > MOST_PROMPT, F.substring(s, 1, MOST_PROMPT)).when(strip(c) == "", "").otherwise(c)
-    return F.struct((reason == "").alias("valid"), out.alias("cleaned"), reason.alias("reason"), F.when(reason.isin("empty", "too_long"), 0).otherwise(F.regexp_count(s, F.lit(control))).cast("bigint").alias("removed"))
+
+    def checked(s: Column) -> Column:
+        squeezed = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, control, ""), "[ \t]{10,}", "  "), "\n{4,}", "\n\n\n")
+
+        def decided(c: Column) -> Column:
+            attack = F.lit(False)
+            for p in INJECTIONS:
+                attack = attack | c.rlike("(?im)" + p.replace(r"\s", "[ \t\r\n]"))
+            reason = F.when(s == "", "empty").when(F.length(s) > MOST_PROMPT, "too_long").when(attack, "unsafe").when(strip(c) == "", "empty_after_cleaning").otherwise("")
+            return bound(reason, lambda r: F.struct(
+                (r == "").alias("valid"), F.when(r.isin("empty", "empty_after_cleaning"), "").when(r == "too_long", F.substring(s, 1, MOST_PROMPT)).otherwise(c).alias("cleaned"), r.alias("reason"),
+                F.when(r.isin("empty", "too_long"), 0).otherwise(F.regexp_count(s, F.lit(control))).cast("bigint").alias("removed")))
+
+        return bound(squeezed, decided)
+
+    return bound(strip(F.coalesce(text, F.lit(""))), checked)
 
 
 def shape_of_draft(draft: Column) -> Column:

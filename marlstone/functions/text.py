@@ -5,6 +5,8 @@ White space is what Unicode calls so, as in Python's ``\\s``; Java's own ``\\s``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ WS = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 BEFORE, AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -35,9 +42,11 @@ def cleaned(c: Column) -> Column:
 
 def clipped(c: Column, most: int = 180) -> Column:
     """One line of at most ``most`` characters; a longer one loses its last, partial word and gets an ellipsis."""
-    one = one_line(c)
-    cut = F.trim(F.regexp_replace(F.substring(one, 1, most), " [^ ]*$", ""))
-    return F.when(F.length(one) <= most, one).when(cut == "", F.substring(one, 1, most)).otherwise(F.concat(cut, F.lit("...")))
+    def cut(one: Column) -> Column:
+        short = F.trim(F.regexp_replace(F.substring(one, 1, most), " [^ ]*$", ""))
+        return F.when(F.length(one) <= most, one).when(short == "", F.substring(one, 1, most)).otherwise(F.concat(short, F.lit("...")))
+
+    return bound(one_line(c), cut)
 
 
 def tokens(c: Column) -> Column:
@@ -157,11 +166,12 @@ def without_markdown(c: Column) -> Column:
 
 def meta_description(title: Column, draft: Column) -> Column:
     """The first of title and plain draft with 60 characters or more, cut to 160; else the title or a default."""
-    d = without_markdown(draft)
-    t = one_line(title)
-    first = F.when(F.length(t) >= 60, t).when(F.length(d) >= 60, d)
-    cut = F.regexp_replace(F.substring(first, 1, 160), "[ .]+$", "")
-    return F.coalesce(cut, F.when(t != "", t), F.lit("Article"))
+    def first(d: Column) -> Column:
+        t = one_line(title)
+        long = F.when(F.length(t) >= 60, t).when(F.length(d) >= 60, d)
+        return F.coalesce(F.regexp_replace(F.substring(long, 1, 160), "[ .]+$", ""), F.when(t != "", t), F.lit("Article"))
+
+    return bound(without_markdown(draft), first)
 
 
 def html_escaped(c: Column) -> Column:

@@ -9,11 +9,17 @@ from marlstone.functions import filters as P
 from marlstone.functions import text as T
 from marlstone.plans import sql as S
 from marlstone.plans.registry import register
-from marlstone.sources.tables import read_table
+from marlstone.session import spread
+from marlstone.sources.tables import read_table as _read
 
 WINDOW, OVERLAP = 1800, 220
 
 
+def read_table(spark, folder, name):
+    """These queries work on texts, so a table in one file is spread over the cores first."""
+    return spread(_read(spark, folder, name))
+
+
 def _draft(spark, folder):
     return read_table(spark, folder, "resilience_report").select("id", F.coalesce("draft", F.lit("")).alias("draft"), "name", "prompt", "error", "run_at").distinct()
 
@@ -158,7 +164,8 @@ def supporting_facts(spark, folder):
     from marlstone.operators.changes import latest
 
     own = latest(read_table(spark, folder, "validex_knowledge"), "chunk_id", F.struct(F.col("created_at")), ["chunk_id", "topic", "content"]).where("content is not null")
-    s = own.select("chunk_id", "topic", T.clipped(F.col("content")).alias("s")).where(P.looks_english(F.col("s")) & ~P.is_garbage(F.col("s")))
+    usable = F.filter(F.array(T.clipped(F.col("content"))), lambda x: P.looks_english(x) & ~P.is_garbage(x))
+    s = own.select("chunk_id", "topic", F.explode(usable).alias("s"))
     first = s.select("chunk_id", "topic", P.as_evidence(F.col("s")).alias("fact")).groupBy("topic", "fact").agg(F.min("chunk_id").alias("chunk_id"))
     w = W.partitionBy("topic").orderBy("chunk_id", "fact")
     return first.withColumn("rank", F.row_number().over(w)).where("rank <= 6").withColumn("rank", F.col("rank").cast("bigint"))

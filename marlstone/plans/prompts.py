@@ -10,12 +10,13 @@ from marlstone.functions import text as T
 from marlstone.functions.text import AFTER, BEFORE, WS
 from marlstone.plans import sql as S
 from marlstone.plans.registry import register
+from marlstone.session import spread
 from marlstone.sources.tables import read_table
 
 
 def _prompts(spark, folder):
     chat = read_table(spark, folder, "chat_sessions").select("session_id", F.posexplode("turns").alias("n", "t")).select(F.col("t.user_prompt").alias("prompt"))
-    return chat.unionAll(read_table(spark, folder, "resilience_report").select("prompt")).where("prompt is not null").distinct()
+    return spread(chat.unionAll(read_table(spark, folder, "resilience_report").select("prompt"))).where("prompt is not null").distinct()
 
 
 _P = "(select distinct prompt from (select unnest(turns).user_prompt as prompt from chat_sessions union all select prompt from resilience_report) where prompt is not null)"

@@ -11,7 +11,7 @@ from marlstone.operators import vectors
 from marlstone.operators.changes import latest
 from marlstone.plans import sql as S
 from marlstone.plans.registry import register
-from marlstone.session import ship_package
+from marlstone.session import ship_package, spread
 from marlstone.sources.tables import read_table
 
 QUERIES = [
@@ -50,7 +50,7 @@ k as (select *, row_number() over (partition by query order by score desc, doc_i
 
 
 def _docs(spark, folder):
-    return read_table(spark, folder, "documents").select("doc_id", "text", "file_stem", "topic", "document_type", "approved", "authority_score")
+    return spread(read_table(spark, folder, "documents")).select("doc_id", "text", "file_stem", "topic", "document_type", "approved", "authority_score")
 
 
 @register("lexical_top_k", f"with {SCORED} select query, doc_id, score, semantic_score, rank from k where rank <= 5")
