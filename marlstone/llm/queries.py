@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import mixing, neardup, page_body, pairs, residue, site_lines, splitting, tokenizer
-from marlstone.session import ship_package
+from marlstone.session import ship_package, spread
 from marlstone.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +21,11 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
-    return read_table(spark, folder, "documents")
+    return spread(read_table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(_chunks(spark, folder).select("chunk_id", "text"))
 
 
 def _roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,21 +41,21 @@ def _shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.records_of((_chunks(spark, folder), "chunk_id", "text"), (read_table(spark, folder, "validex_knowledge"), "chunk_id", "content"))
+    return spread(neardup.records_of((_chunks(spark, folder), "chunk_id", "text"), (read_table(spark, folder, "validex_knowledge"), "chunk_id", "content")))
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     chats, report = read_table(spark, folder, "chat_sessions"), read_table(spark, folder, "resilience_report")
-    return pairs.chat_pairs(chats).unionByName(pairs.report_pairs(report))
+    return spread(pairs.chat_pairs(chats).unionByName(pairs.report_pairs(report)))
 
 
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: splitting.oversized_boundaries(_chunks(s, d)),
         "p1_pieces": lambda s, d: splitting.split_oversized(_chunks(s, d)),
-        "p2_found": lambda s, d: page_body.furniture_lines(_chunks(s, d)).select("chunk_id", "line_no"),
-        "p2_body": lambda s, d: page_body.main_body(_chunks(s, d)),
+        "p2_found": lambda s, d: page_body.furniture_lines(_pages(s, d)).select("chunk_id", "line_no"),
+        "p2_body": lambda s, d: page_body.main_body(_pages(s, d)),
         "p3_found": lambda s, d: site_lines.repeated_lines(_chunks(s, d)),
         "p3_clean": lambda s, d: site_lines.without_repeated_lines(_chunks(s, d)),
         "p4_found": lambda s, d: neardup.similar_pairs(_records(s, d)).toDF("chunk_id_a", "chunk_id_b"),

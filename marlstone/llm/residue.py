@@ -69,8 +69,8 @@ NOTICES: list[tuple[str, str]] = [
     ("error", r"\b(?:try|come|check) (?:it |this )?(?:again|back) (?:later|soon|shortly|in a (?:few|moment)|in \d+)|\bback (?:shortly|soon|online)\b|\bdown for (?:scheduled |planned |routine )?maintenance|\b(?:scheduled|planned) (?:maintenance|outage)\b|\binternal server error|\b(?:bad gateway|gateway time-?out|service unavailable|connection (?:refused|reset|timed out))\b|\bsomething went wrong\b|\ban? (?:unexpected |internal |unknown )?error (?:has )?occurred"),
     ("error", r"\b(?:go|return|head) (?:back )?to (?:the |our )?home ?page\b|\btry (?:the|our) (?:search|site map|sitemap)|\bcontact the (?:site|server|web) ?(?:owner|admin\w*|master)"),
     ("filler", r"\b(?:dummy|placeholder|filler|lipsum)\b.*\b(?:copy|text|content|paragraph|block|heading|title|image|caption)s?\b|\b(?:sample|example) (?:heading|title|paragraph|text|copy|caption|sentence|content|subheading|body)\b|\blipsum\b|\bgreeked\b"),
-    ("filler", r"\b(?:insert|add|enter|type|put|paste|place|write) (?:your |the |some |body |more )*(?:an? |more )?(?:short |brief |full |main )?(?:copy|text|content|caption|title|heading|paragraph|body|description|summary|words|quote|image|details|intro\w*)s?\b.*\b(?:here|block|section|space|box|area|later)\b|\breplace (?:this|the|these) (?:paragraph|text|copy|sentence|heading|block|line|words|title)|\b(?:caption|title|text|heading|subtitle|copy|quote|description|name|image|content|body|logo|paragraph) (?:goes )?here\W*$|^(?:heading|title|paragraph|section|subheading|caption|column|item|bullet|block) (?:one|two|three|a|b|\d)\W*$|^(?:button|field|menu|image) (?:label|text|caption|title)\W*$|\byour (?:text|content|copy|title|heading|caption|logo|headline) (?:here|goes)|\blayout only\b"),
-    ("filler", r"\bcoming (?:very )?soon\b|\bunder construction\b|\b(?:content|text|details?|section|copy|page|article|chapter|answer|summary|information|wording|figures?|table|photo|guide|more) (?:is |are )?(?:still )?(?:to come|to follow|pending|to be (?:added|announced|confirmed|supplied|written|completed|provided|advised))\b|^(?:to come|tba|tbc|tbd|to be (?:added|announced|confirmed|supplied|written|completed|provided|advised|determined))\W*$|^(?:text|content|copy|details|section|answer) (?:tba|tbc|tbd|tk)\b|\bnothing (?:here|to see) yet\b|\b(?:will be|being) (?:added|written|published|uploaded) (?:here )?(?:soon|shortly|later)\b|\bwork in progress\b|\bthis (?:page|section|article|guide|text) is (?:not (?:yet )?(?:ready|written|finished)|being (?:written|prepared|updated|built)|incomplete|empty)"),
+    ("filler", r"\b(?:insert|add|enter|type|put|paste|place|write) (?:your |the |some |body |more )*(?:an? |more )?(?:short |brief |full |main )?(?:copy|text|content|caption|title|heading|paragraph|body|description|summary|words|quote|image|details|intro\w*)s?\b.*\b(?:here|block|section|space|box|area|later)\b|\breplace (?:this|the|these) (?:paragraph|text|copy|sentence|heading|block|line|words|title)|\b(?:caption|title|text|heading|subtitle|copy|quote|description|name|image|content|body|logo|paragraph) (?:goes )?here\W*$|^(?:heading|title|paragraph|section|subheading|caption|column|item|bullet|block) (?:one|two|three|a|b|\d)\W*$|^(?:button|field|menu|image) (?:label|text|caption|title)\W*$|\byour (?:text|content|copy|title|heading|caption|logo|headline) (?:here|goes)|\blayout only\b|\b(?:type|write|say|add|put) something (?:about|here|for)\b"),
+    ("filler", r"\bcoming (?:very )?soon\b|\bunder construction\b(?! sites?\b)|\b(?:content|text|details?|section|copy|page|article|chapter|answer|summary|information|wording|figures?|table|photo|guide|more) (?:is |are )?(?:still )?(?:to come|to follow|pending|to be (?:added|announced|confirmed|supplied|written|completed|provided|advised))\b|^(?:to come|tba|tbc|tbd|to be (?:added|announced|confirmed|supplied|written|completed|provided|advised|determined))\W*$|^(?:text|content|copy|details|section|answer) (?:tba|tbc|tbd|tk)\b|\bnothing (?:here|to see) yet\b|\b(?:will be|being) (?:added|written|published|uploaded) (?:here )?(?:soon|shortly|later)\b|\bwork in progress\b|\bthis (?:page|section|article|guide|text) is (?:not (?:yet )?(?:ready|written|finished)|being (?:written|prepared|updated|built)|incomplete|empty)"),
 ]
 #: The same in Spanish and in Vietnamese with its accents taken off.
 NOTICES_OTHER: list[tuple[str, str]] = [
@@ -152,6 +152,12 @@ def _filler(words: list[str]) -> bool:
     return len(low) >= 4 and len(set(low)) == 1 and len(low[0]) > 1
 
 
+#: Headings that ask a question about a subject of their own.
+_TITLE = re.compile(r"[\W\d]*(?:when|why|how|who|what|where) (?:the|a|an|has|to)\b")
+#: Runs of filler inside a line that was joined with its neighbours.
+_KEY_RUN = re.compile(r"(?:(?<!\w)(?:%s)(?!\w)[\s,.]*){6,}" % "|".join(sorted(KEYBOARD_FILLER - {"text", "testing", "abc"}) + ["abc"]), re.I)
+_LATIN_RUN = re.compile(r"(?:(?<!\w)(?:%s)(?!\w)[\s,.]*){5,}" % "|".join(sorted(w for w in LATIN_FILLER if len(w) > 3)), re.I)
+_RUN_HINT = re.compile(r"asdf|qwerty|zzz|xxx|test test|foo|lorem|ipsum|amet|magna|velit|sodales|morbi|nulla|elit\b", re.I)
 _REPEATED = re.compile(r"\W*(\d{2,}|[a-z]{2,})(?:[ ,;]+\1){3,}\W*", re.I)
 
 
@@ -188,12 +194,13 @@ def residue_in(sentence: str) -> str | None:
     words = _WORD.findall(sentence)
     if _TRACE_HINT.search(sentence) and _TRACE.search(sentence):
         return "error"
-    if _filler(words) or _REPEATED.fullmatch(sentence):
+    if _filler(words) or _REPEATED.fullmatch(sentence) or _RUN_HINT.search(sentence) and (_KEY_RUN.search(sentence) or _LATIN_RUN.search(sentence)):
         return "filler"
     if len(words) <= 32 and not _tells(words):
         low = sentence.lower().replace("’", "'")
+        title = _TITLE.match(low)
         for family, grammar in _NOTICE:
-            if (m := grammar.search(low)) and not quoted(*m.span()):
+            if (m := grammar.search(low)) and not quoted(*m.span()) and not (title and family == "error"):
                 return family
     if len(words) <= 18 and _OTHER_HINT.search(sentence):
         bare = unaccented(sentence)

@@ -161,6 +161,7 @@ def test_mix(spark):
 
 PAIRS = [
     ("Make it shorter", None, "empty"), ("Make it shorter", " ​", "empty"), ("Make it shorter", "<p></p>", "empty"), ("Make it shorter", "N/A", "empty"), ("Yes or no: may I?", "No", None), ("When?", "Only with consent", None),
+    ("Explain why the card is signed", "user_prompt: Explain why the card is signed", "copies_question"), ("Them 67 y ve lich su dia chi", "Sorry, no draft can be offered for this topic.", "refusal"),
     ("Explain why the card is signed", "> Explain why the card is signed", "copies_question"), ("Explain why the card is signed", "Explain why the card is signed\nExplain why the card is signed", "copies_question"),
     ("Explain why the card is signed", "> Explain why the card is signed\n\nThe clerk signs the card because the scheme needs it.", None),
     ("List five cards", "I'm sorry, but I cannot help with that. Let me know if you have another question.", "refusal"), ("Write a guide", "I can't stress this enough: start early. The clerk must sign the card in the same week. Each card is valid for two years and the lead must print the note.", None),

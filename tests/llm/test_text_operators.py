@@ -184,6 +184,7 @@ CASES = [
     ("The old form returned a 503 message during maintenance, so 4 cases were uploaded by hand.", False), ("Auditors searched all pages for sample text such as 'lorem ipsum' and found none in 2018.", False),
     ("Allow scripts in the browser before the identity step, or the camera of the security firm will not start.", False), ("See the fee [see note 3] and keep the bracket [sic] of the old slip.", False),
     ("[ ] Sign the form\n[x] Print the note", False), ("```\nHello {{name}}\n```\nThe clerk keeps the note.", False), ("No appeal file is corrected if the referee cannot be reached.", False),
+    ("Under construction sites, a clerk must check the note.", False), ("When the overseas record is withdrawn for Ostoby sites", False), ("The clerk keeps the note and zzz asdf asdf asdf test asdf asdf", True), ("Type something about your team.", True),
     ("", False), ("   \n", False), (None, False),
 ]
 
