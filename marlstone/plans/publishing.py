@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions.display import with_shown
 from marlstone.functions.text import one_line, strip
 from marlstone.operators import documents as D
 from marlstone.plans import sql as S
 from marlstone.plans.registry import register
+from marlstone.session import ship_package
 from marlstone.sources.tables import read_table
 
 
@@ -66,3 +68,11 @@ def conclusion_heading(spark, folder):
     """Drafts with the closing heading in its one form."""
     d = _sectioned(spark, folder)
     return d.select("id", D.with_conclusion(F.col("draft"), F.col("title")).alias("document"))
+
+
+@register("shown_drafts")
+def shown_drafts(spark, folder):
+    """Drafts as HTML for display."""
+    ship_package(spark)
+    d = read_table(spark, folder, "resilience_report").select("id", "draft").distinct()
+    return with_shown(d, text="draft", key="id")
