@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import bound, strip, words
 
-# Keywords of relevant chunks, phrases of page noise, signs of snippets that are no evidence, and function words.
+# Keywords of relevant chunks, phrases of page noise, signs of snippets that are no evidence, function words, and patterns of injected instructions.
 KEYWORDS = [
     "afp", "acic", "check", "applicant", "identity", "result", "conviction", "screening", "compliance", "clearance", "criminal", "history", "verification", "employment",
     "disclosure", "legislation", "regulation", "wwcc", "children", "ndis", "aged care", "worker", "visa", "right to work", "fair work", "workplace", "privacy", "data protection", "spent conviction",

@@ -118,3 +118,38 @@ def image_limit(prompt: Column) -> Column:
     for w, n in NUMBERS.items():
         value = value.when(said == w, F.lit(n).cast("bigint"))
     return F.when(none, F.lit(0).cast("bigint")).otherwise(value.otherwise(said.try_cast("bigint")))
+
+
+#: Other names of intents, signs of a wish for steps, and signs against it.
+INTENT_NAMES = {"rewrite": ("rewrite", "edit", "revise", "update", "modify"), "shorten": ("shorten", "summary", "summarize", "condense")}
+STEPS = "step-by-step|step by step|how to|checklist|huong dan|hướng dẫn|guide|walkthrough"
+NO_STEPS = "not step|non-step|khong theo buoc|không theo bước|khong tung buoc|không từng bước|editorial|thought leadership"
+
+
+def intent_of_name(name: Column) -> Column:
+    """A parser's word for an intent as one of three."""
+    n = F.regexp_replace(F.lower(one_line(F.coalesce(name, F.lit("")))), " ", "_")
+    out = F
+    for k, names in INTENT_NAMES.items():
+        out = out.when(n.isin(*names), k)
+    return out.otherwise("create_blog")
+
+
+def topic_of_name(name: Column, intent_: Column) -> Column:
+    t = bare(one_line(F.coalesce(name, F.lit(""))))
+    return F.when(t != "", t).when(intent_.isin("rewrite", "shorten"), "current draft").otherwise("general topic")
+
+
+def prefers_steps(prompt: Column) -> Column:
+    p = F.lower(one_line(prompt))
+    return ~p.rlike(NO_STEPS) & p.rlike(STEPS)
+
+
+def is_police_check(topic_: Column) -> Column:
+    t = F.lower(topic_)
+    return F.contains(t, F.lit("police check")) | (F.contains(t, F.lit("police")) & F.contains(t, F.lit("background")))
+
+
+def edits_images(prompt: Column) -> Column:
+    """Whether a prompt that reads as a new article only asks for other images of the current one."""
+    return image_limit(prompt).isNotNull() & (intent(prompt) == DEFAULTS["intent"])

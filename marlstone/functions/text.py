@@ -90,7 +90,12 @@ def _case(c: Column, rules: list[tuple[str, str]], other: str) -> Column:
 URL_TOPICS = [("privacy|oaic", "privacy"), ("police", "police_check"), ("background", "background_check"), ("how-it-works", "process"), ("faq", "faq")]
 URL_KINDS = [(r"\.pdf$", "pdf"), ("faq", "faq"), ("blog", "blog"), ("how-it-works", "guide")]
 #: Ordered rules for a failure's class by its message.
-ERROR_KINDS = [("quota|rate limit|429|resource_exhausted|resource exhausted", "quota_exhausted"), ("api key|unauthori|permission|401|403", "auth_error"), ("timeout|timed out|deadline", "timeout"), ("invalid|bad request|400", "invalid_request")]
+ERROR_KINDS = [("resource_exhausted|quota|rate limit|429", "quota_exhausted"), ("unauthenticated|auth|api key|401", "auth_error"), ("timeout|deadline|504", "timeout"), ("invalid_argument|400", "invalid_request")]
+#: Ordered rules for a document's topic by its file stem, and signs of a failure that more requests make worse or that blocks a site.
+STEM_TOPICS = [("privacy", "privacy"), ("processing|time", "processing_time"), ("document|requirement", "requirements"), ("police", "police_check"), ("background", "background_check")]
+QUOTA, BLOCKING = "429|resource_exhausted|quota", "403|forbidden|timeout"
+#: Words that stay small inside a title, and how many words a title has at most.
+SMALL, MOST_TITLE_WORDS = "a an the and or for to of in on with".split(), 14
 
 
 def url_topic(url: Column) -> Column:
@@ -105,6 +110,36 @@ def error_kind(message: Column) -> Column:
     return F.when(message.isNotNull(), _case(F.lower(message), ERROR_KINDS, "invoke_error"))
 
 
+def filename_topic(stem: Column) -> Column:
+    return F.when(stem.isNotNull(), _case(F.lower(stem), STEM_TOPICS, "compliance"))
+
+
+def is_quota_error(message: Column) -> Column:
+    return F.lower(message).rlike(QUOTA)
+
+
+def is_blocking_error(message: Column) -> Column:
+    return F.lower(message).rlike(BLOCKING)
+
+
+def log_line(c: Column, most: int = 7000) -> Column:
+    return bound(one_line(F.coalesce(c, F.lit(""))), lambda x: F.when(F.length(x) <= most, x).otherwise(F.concat(F.substring(x, 1, most), F.lit(" ...[truncated]"))))
+
+
+def title_case(topic: Column) -> Column:
+    """At most 14 words, each with a capital but for small words inside; a topic that says nothing gets a fixed title."""
+    bare = F.regexp_replace(one_line(F.coalesce(topic, F.lit(""))), "^[ .,!?:;]+|[ .,!?:;]+$", "")
+    cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))
+
+    def made(ws: Column) -> Column:
+        return F.array_join(F.transform(ws, lambda w, i: F.when((i > 0) & (i < F.size(ws) - 1) & F.lower(w).isin(SMALL), F.lower(w)).otherwise(cap(w))), " ")
+
+    def whole(x: Column) -> Column:
+        return F.when(F.lower(x).isin("", "current draft"), "Current Draft Update").otherwise(bound(F.slice(F.split(x, " "), 1, MOST_TITLE_WORDS), made))
+
+    return bound(bare, whole)
+
+
 def host(url: Column) -> Column:
     """Lower-case network location, empty where there is none."""
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))

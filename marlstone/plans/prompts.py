@@ -107,3 +107,43 @@ select {S.case('lower(error)', T.ERROR_KINDS, 'invoke_error')} as kind, count(*)
 def error_classes(spark, folder):
     d = read_table(spark, folder, "resilience_report").where("error is not null")
     return d.groupBy(T.error_kind(F.col("error")).alias("kind")).agg(F.count(F.lit(1)).alias("failures"), F.countDistinct("id").alias("reports"))
+
+
+@register("title_forms", f"""
+with b as (select doc_id, file_stem, regexp_replace({S.one_line("coalesce(title, '')")}, '^[ .,!?:;]+|[ .,!?:;]+$', '', 'g') as t from documents), w as (select *, string_split(t, ' ')[1:{T.MOST_TITLE_WORDS}] as ws from b)
+select doc_id, case when lower(t) in ('', 'current draft') then 'Current Draft Update' else array_to_string(list_transform(ws, lambda x, i: case when i > 1 and i < len(ws) and lower(x) in ({', '.join(map(S.q, T.SMALL))}) then lower(x) else upper(x[1]) || lower(x[2:]) end), ' ') end as title,
+  case when file_stem is not null then {S.case('lower(file_stem)', T.STEM_TOPICS, 'compliance')} end as topic from w""")
+def title_forms(spark, folder):
+    return read_table(spark, folder, "documents").select("doc_id", T.title_case(F.col("title")).alias("title"), T.filename_topic(F.col("file_stem")).alias("topic"))
+
+
+def _in(k: str) -> str:
+    return ", ".join(map(S.q, R.INTENT_NAMES[k]))
+
+
+_NAME = "replace(lower(trim(coalesce(intent, ''))), ' ', '_')"
+
+
+@register("request_forms", f"""
+with t as (select distinct unnest(turns).parsed_intent as intent, unnest(turns).parsed_topic as topic, unnest(turns).user_prompt as prompt from chat_sessions),
+n as (select *, case when {_NAME} in ({_in('rewrite')}) then 'rewrite' when {_NAME} in ({_in('shorten')}) then 'shorten' else 'create_blog' end as kind, {S.bare(S.one_line("coalesce(topic, '')"))} as tt from t where prompt is not null)
+select intent, topic, prompt, kind, case when tt <> '' then tt when kind in ('rewrite', 'shorten') then 'current draft' else 'general topic' end as named_topic,
+  not {S.has(f"lower({S.one_line('prompt')})", R.NO_STEPS)} and {S.has(f"lower({S.one_line('prompt')})", R.STEPS)} as steps,
+  (case when {_NONE} then 0 {' '.join(f"when {_SAID} = {S.q(w)} then {n}" for w, n in R.NUMBERS.items())} else try_cast({_SAID} as bigint) end) is not null and ({_INTENT}) = 'create_blog' as edits_images from n""")
+def request_forms(spark, folder):
+    """Requests as the parser's names put them, with what their wording adds."""
+    t = read_table(spark, folder, "chat_sessions").select(F.explode("turns").alias("t")).select(F.col("t.parsed_intent").alias("intent"), F.col("t.parsed_topic").alias("topic"), F.col("t.user_prompt").alias("prompt")).where("prompt is not null").distinct()
+    k = t.withColumn("kind", R.intent_of_name(F.col("intent")))
+    return k.select("intent", "topic", "prompt", "kind", R.topic_of_name(F.col("topic"), F.col("kind")).alias("named_topic"), R.prefers_steps(F.col("prompt")).alias("steps"), R.edits_images(F.col("prompt")).alias("edits_images"))
+
+
+@register("editor_notes", f"""
+with r as (select distinct id, prompt, coalesce(draft, '') as draft from resilience_report where prompt is not null), p as (select id, draft, {_INTENT} as intent, {_LENGTH} as length, len({S.words('draft')}) as words from r)
+select id, intent, length, words, concat_ws(' ', case when length = 'long' and words < 400 then 'too_short' when length = 'short' and words > 300 then 'too_long' end, case when intent = 'create_blog' and not contains(draft, '##') then 'no_headings' end) as notes from p""")
+def editor_notes(spark, folder):
+    """What a draft must be sent back for, given the length and kind that its prompt asks for."""
+    r = read_table(spark, folder, "resilience_report").where("prompt is not null").select("id", "prompt", F.coalesce("draft", F.lit("")).alias("draft")).distinct()
+    p = r.select("id", "draft", R.intent(F.col("prompt")).alias("intent"), R.length(F.col("prompt")).alias("length"), F.size(T.words(F.col("draft"))).cast("bigint").alias("words"))
+    size = F.when((F.col("length") == "long") & (F.col("words") < 400), "too_short").when((F.col("length") == "short") & (F.col("words") > 300), "too_long")
+    heads = F.when((F.col("intent") == "create_blog") & ~F.contains("draft", F.lit("##")), "no_headings")
+    return p.select("id", "intent", "length", "words", F.concat_ws(" ", size, heads).alias("notes"))
