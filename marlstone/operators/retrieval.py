@@ -133,15 +133,21 @@ def guarded(docs: DataFrame, queries: list[Query], least_score: int = 3, least_c
     return all_.select("query", status.alias("status"), F.when(scored_at_all, confidence).otherwise(0.0).alias("confidence"), F.when(scored_at_all, F.col("first")).otherwise(0).cast("bigint").alias("top_score"))
 
 
+#: Parts that each group of ``packed`` is cut into.
+PARTS = 64
+
+
 def packed(docs: DataFrame, by: list[str], order: list[Column], estimate: Column, target: int, most: int) -> DataFrame:
     """The longest prefix of each group that fills a token budget: a row stays while the sum before it is under ``target``
     and, but for the first row, the sum with it is at most ``most``. Adds running_tokens. Rows without tokens are left out.
 
-    As a row has a token or more, the first ``target`` rows of a group suffice; Spark keeps only these before the
-    shuffle, so a group of any size costs a bounded task.
+    As a row has a token or more, the first ``target`` rows of a group suffice. They are picked in two steps, first within
+    ``PARTS`` parts of each group, so that no task ever holds a whole group.
     """
     w = W.partitionBy(*by).orderBy(*order)
-    first = docs.withColumn("_e", estimate).where("_e > 0").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= target)
-    run = first.withColumn("running_tokens", F.sum("_e").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    part = W.partitionBy(*by, "_p").orderBy(*order)
+    sized = docs.withColumn("_e", estimate).where("_e > 0").withColumn("_p", F.pmod(F.xxhash64(*docs.columns), F.lit(PARTS)))
+    few = sized.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= target).drop("_p")
+    run = few.withColumn("_n", F.row_number().over(w)).withColumn("running_tokens", F.sum("_e").over(w.rowsBetween(W.unboundedPreceding, 0)))
     keep = (F.col("running_tokens") - F.col("_e") < target) & ((F.col("_n") == 1) | (F.col("running_tokens") <= most))
     return run.where(keep).drop("_e", "_n")

@@ -11,11 +11,10 @@ from marlstone.plans.registry import register
 from marlstone.sources.tables import read_table
 
 _KNOW = S.latest("validex_knowledge", "chunk_id", "created_at desc, chunk_hash")
-_COLUMNS = ["chunk_id", "doc_id", "source_url", "source_domain", "topic", "authority_score", "approved", "embedding_provider", "created_at", "chunk_hash"]
 
 
-def _know(spark, folder):
-    return latest(read_table(spark, folder, "validex_knowledge").select(*_COLUMNS), "chunk_id", F.struct("created_at"), _COLUMNS)
+def _know(spark, folder, *columns):
+    return latest(read_table(spark, folder, "validex_knowledge"), "chunk_id", F.struct("created_at"), ["chunk_id", *columns])
 
 
 def _percent(part, whole):
@@ -24,12 +23,12 @@ def _percent(part, whole):
 
 @register("source_totals", f"select count(*) as chunks, count(distinct source_url) as sources from {_KNOW} where approved")
 def source_totals(spark, folder):
-    return _know(spark, folder).where("approved").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source_url").alias("sources"))
+    return _know(spark, folder, "approved", "source_url").where("approved").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source_url").alias("sources"))
 
 
 @register("topic_histogram", f"select topic, count(*) as chunks, count(distinct source_url) as sources from {_KNOW} where approved group by topic")
 def topic_histogram(spark, folder):
-    return _know(spark, folder).where("approved").groupBy("topic").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source_url").alias("sources")).orderBy(F.desc("chunks"), "topic")
+    return _know(spark, folder, "approved", "topic", "source_url").where("approved").groupBy("topic").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source_url").alias("sources")).orderBy(F.desc("chunks"), "topic")
 
 
 #: Lower bounds of the bands of authority, best first.
@@ -45,7 +44,7 @@ def authority_bands(spark, folder):
     name, rank = F, F
     for i, (x, n) in enumerate(BANDS):
         name, rank = name.when(a >= x, n), rank.when(a >= x, i)
-    d = _know(spark, folder).where("approved").groupBy(name.otherwise("<0.60").alias("band"), rank.otherwise(len(BANDS)).alias("band_rank"))
+    d = _know(spark, folder, "approved", "authority_score", "source_url").where("approved").groupBy(name.otherwise("<0.60").alias("band"), rank.otherwise(len(BANDS)).alias("band_rank"))
     return d.agg(F.countDistinct("source_url").alias("sources"), F.count(F.lit(1)).alias("chunks")).orderBy("band_rank")
 
 
@@ -58,7 +57,7 @@ select total, genuine, fake, greatest(0, total - genuine - fake) as other, case
   case when total > 0 then round_even(fake * 100.0::double / total, 2) else 0 end as fake_percent, genuine > 0 as ready, total - genuine as to_refresh from k""")
 def provider_health(spark, folder):
     p = F.coalesce("embedding_provider", F.lit("unknown"))
-    k = _know(spark, folder).agg(F.count(F.lit(1)).alias("total"), F.count_if(p.isin("openai", "google")).alias("genuine"), F.count_if(p == "fake").alias("fake"))
+    k = _know(spark, folder, "embedding_provider").agg(F.count(F.lit(1)).alias("total"), F.count_if(p.isin("openai", "google")).alias("genuine"), F.count_if(p == "fake").alias("fake"))
     return k.select(
         "total", "genuine", "fake", F.greatest(F.lit(0), F.col("total") - F.col("genuine") - F.col("fake")).alias("other"), _percent(F.col("genuine"), F.col("total")).alias("genuine_percent"),
         _percent(F.col("fake"), F.col("total")).alias("fake_percent"), (F.col("genuine") > 0).alias("ready"), (F.col("total") - F.col("genuine")).alias("to_refresh"))
@@ -66,7 +65,7 @@ def provider_health(spark, folder):
 
 @register("provider_topics", f"select coalesce(embedding_provider, 'unknown') as provider, topic, count(*) as chunks from {_KNOW} group by all")
 def provider_topics(spark, folder):
-    return _know(spark, folder).groupBy(F.coalesce("embedding_provider", F.lit("unknown")).alias("provider"), "topic").agg(F.count(F.lit(1)).alias("chunks"))
+    return _know(spark, folder, "embedding_provider", "topic").groupBy(F.coalesce("embedding_provider", F.lit("unknown")).alias("provider"), "topic").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @register("verify_ingest", """
