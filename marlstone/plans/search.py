@@ -90,6 +90,15 @@ def vector_top_k(spark, folder):
     return vectors.nearest(e, e.where("vec_id % 100 = 0"), key="vec_id", vector="embedding", k=10)
 
 
+@register("vector_cells")
+def vector_cells(spark, folder):
+    """The approximate form of ``vector_top_k``: an inverted-file index over all vectors, 20 cells of 32 probed (recall 0.935 at sf0.1, 0.98 at sf0.01)."""
+    ship_package(spark)
+    e = read_table(spark, folder, "embeddings")
+    centres = vectors.centroids_of(e, vector="embedding")
+    return vectors.nearest_by_cells(e, e.where("vec_id % 100 = 0"), key="vec_id", vector="embedding", k=10, centres=centres)
+
+
 _KNOW = S.latest("validex_knowledge", "chunk_id", "created_at desc, chunk_hash")
 
 

@@ -155,6 +155,17 @@ def test_nearest_equals_brute_force(spark):
     assert got == want and vectors.nearest(df, df.where("false"), key="id", vector="v", k=5).count() == 0
 
 
+def test_cells_reach_recall(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    q = e.where("vec_id % 100 = 0")
+    want = {(r.query_id, r.id) for r in vectors.nearest(e, q, key="vec_id", vector="embedding", k=10).collect()}
+    centres = vectors.centroids_of(e, vector="embedding")
+    got = {(r.query_id, r.id) for r in vectors.nearest_by_cells(e, q, key="vec_id", vector="embedding", k=10, centres=centres).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+    empty = e.where("false")
+    assert vectors.nearest_by_cells(empty, empty, key="vec_id", vector="embedding", k=3, centres=vectors.centroids_of(empty, vector="embedding")).count() == 0
+
+
 def test_changes_twice_is_nothing(spark):
     old = spark.createDataFrame([("a", "1", "x"), ("b", "2", "y"), ("c", "3", "z")], "k string, digest string, v string")
     new = spark.createDataFrame([("a", "1", "x"), ("b", "9", "Y"), ("d", "4", "w")], "k string, digest string, v string")
