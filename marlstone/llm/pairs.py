@@ -3,9 +3,8 @@
 Checks of one pair: an answer that holds nothing, that only gives the prompt back, or that is in another language.
 Two checks need the whole collection:
 
-* Refusals. Response openings, with names and numbers masked, are counted, and distinct ones are clustered by
-  MinHash: openings that share a band key are compared with the least opening of that key and linked where their
-  similarity is verified, then connected. A cluster that recurs across unrelated prompts and whose members mostly
+* Refusals. Response openings, with names and numbers masked, are counted, and all pairs of distinct ones that are
+  similar are found by an exact join on their rarest shingles, verified, and connected. A cluster that recurs across unrelated prompts and whose members mostly
   decline in words is a template of refusal; all its members are. An opening that declines by itself also counts.
 * Terminations. Whether a list item or a table cell may end in a word is learned from all items that are not
   last in their answer; an answer whose last item ends in a word that such items go on after is cut off.
@@ -21,7 +20,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -313,40 +311,65 @@ def _shingles(masked: str) -> set[str]:
     return set(w) | {f"{x} {y}" for x, y in zip(w, w[1:])}
 
 
-def _band_batches(bands: int = 8, rows: int = 2):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = np.random.default_rng(5).integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for b in batches:
-            opens, keys = [], []
-            for o in b.column(0).to_pylist():
-                h = np.array([xxhash.xxh64_intdigest(s) for s in _shingles(o)], np.uint64)
-                low = (h[:, None] * odd[None, :]).min(0)
-                for i in range(bands):
-                    opens.append(o)
-                    keys.append(xxhash.xxh64_intdigest(low[i * rows : (i + 1) * rows].tobytes(), i) - 2**63)
-            yield pa.RecordBatch.from_arrays([pa.array(opens, pa.string()), pa.array(keys, pa.int64())], ["open", "key"])
-
-    return run
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each opening the hashes of its shingles, their number, and for each of 256 classes of hashes whether it has an odd number of them."""
+    for b in batches:
+        sizes, bits, tokens = [], [], []
+        for o in b.column(1).to_pylist():
+            h = {xxhash.xxh64_intdigest(s) for s in _shingles(o)}
+            odd = 0
+            for x in h:
+                odd ^= 1 << (x >> 56)
+            sizes.append(len(h))
+            bits.append([(odd >> 64 * i & 2**64 - 1) - 2**63 for i in range(4)])
+            tokens.append([x - 2**63 for x in h])
+        cols = [pa.array([x[i] for x in bits], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), *cols, pa.array(tokens, pa.list_(pa.int64()))], ["id", "n", "b0", "b1", "b2", "b3", "tokens"])
 
 
 def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             p, q = _shingles(x), _shingles(y)
             keep.append(len(p & q) >= SIMILAR * len(p | q))
-        yield b.filter(pa.array(keep, pa.bool_()))
+        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def alike(openings: DataFrame) -> DataFrame:
+    """(a, b): the ids of all pairs of ``openings`` (id bigint, open string) whose similarity is at least SIMILAR, each once.
+
+    Exact: in one order of all shingles, rarest first, the first common shingle of such a pair lies among the first
+    n - ceil(SIMILAR n) + 1 of the larger set and the first n - ceil(2 SIMILAR / (1 + SIMILAR) n) + 1 of the smaller. Pairs that
+    meet there are dropped where their bitmaps prove them too unlike, and else verified on their words.
+    """
+    bits = ["b0", "b1", "b2", "b3"]
+    sets = openings.select("id", "open").mapInArrow(_set_batches, "id bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, tokens array<bigint>")
+    each = written(sets, "sets").select("id", "n", *bits, F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")  # the rest come first in the order and meet nothing
+    own = each.join(often, "token").groupBy("id", "n", *bits).agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared"))
+
+    def first(share: float) -> DataFrame:
+        length = F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1 - (F.col("n") - F.size("shared"))
+        return own.select("id", "n", *bits, F.explode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), length).cast("int"))).alias("s")).select("s.token", "id", "n", *bits)
+
+    x, y = (first(share).select("token", *(F.col(c).alias(p + c) for c in ("id", "n", *bits))) for p, share in (("x", SIMILAR), ("y", 2 * SIMILAR / (1 + SIMILAR))))
+    unlike = sum((F.bit_count(F.col("x" + c).bitwiseXOR(F.col("y" + c))) for c in bits), F.lit(0))
+    larger = (F.col("xn") > F.col("yn")) | (F.col("xn") == F.col("yn")) & (F.col("xid") > F.col("yid"))
+    near = (F.col("yn") >= F.col("xn") * F.lit(SIMILAR)) & (unlike <= (F.col("xn") + F.col("yn")) * F.lit((1 - SIMILAR) / (1 + SIMILAR)) + F.lit(1e-9))
+    met = x.join(y, "token").where(larger & near).select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct()
+    text = openings.select("id", "open")
+    both = met.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(_near_batches, "a bigint, b bigint")
 
 
 def refusal_templates(checked: DataFrame) -> DataFrame:
     """(open): masked openings in clusters that recur across unrelated prompts and mostly decline."""
     counted = checked.where("open is not null").groupBy("open").agg(F.max("declines").alias("declines"), F.collect_set(F.pmod("phash", F.lit(64))).alias("prompts"), F.count(F.lit(1)).alias("n"))
-    counted = written(counted, "openings")  # prompts: which of 64 classes of prompts, so it is bounded
-    keyed = written(counted.select("open").mapInArrow(_band_batches(), "open string, key bigint"), "bands")
-    heads = keyed.groupBy("key").agg(F.min("open").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = keyed.join(heads, "key").where("open <> head").select("open", "head").distinct().mapInArrow(_near_batches, "open string, head string")
-    cluster = components(met.toDF("a", "b")).select(F.col("node").alias("open"), "group")
-    each = counted.join(cluster, "open", "left").withColumn("g", F.coalesce("group", "open"))
+    # prompts: which of 64 classes of prompts, so it is bounded; id: of 64 bits, at 10^10 different openings a few collisions must be expected
+    counted = written(counted.withColumn("id", F.xxhash64("open")), "openings")
+    cluster = components(alike(counted)).select(F.col("node").alias("id"), "group")
+    each = counted.join(cluster, "id", "left").withColumn("g", F.coalesce("group", "id"))
     whole = each.groupBy("g").agg(
         F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)).alias("yes"), F.sum("n").alias("all"), F.size(F.array_distinct(F.flatten(F.collect_set("prompts")))).alias("prompts"))
     good = whole.where((F.col("prompts") >= LEAST_PROMPTS) & (F.col("yes") >= F.col("all") * LEAST_DECLINING)).select("g")

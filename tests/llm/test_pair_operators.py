@@ -193,6 +193,18 @@ def test_refusal_templates_come_from_recurrence(spark):
     assert {(r.record_id, r.defect) for r in pairs.broken_pairs(df).collect()} == {(r[1], "refusal") for r in known + odd}
 
 
+def test_all_similar_openings_are_linked(spark):
+    """Every pair of brute force, also those unlike the least opening of whatever they have in common."""
+    r = random.Random(3)
+    words = ["i", "cannot", "help", "with", "this"] + [f"w{i}" for i in range(40)]
+    stems = [[r.choice(words) for _ in range(r.randint(3, 14))] for _ in range(40)]
+    opens = sorted({" ".join(w if r.random() > 0.15 else r.choice(words) for w in s) for s in stems for _ in range(12)} | {"i", "i i", "no"})
+    got = [(x.a, x.b) for x in pairs.alike(spark.createDataFrame(list(enumerate(opens)), "id bigint, open string")).collect()]
+    sets = [pairs._shingles(o) for o in opens]
+    want = {(i, j) for j in range(len(opens)) for i in range(j) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    assert len(want) > 200 and len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == want
+
+
 def test_pairs_of_tables(spark):
     rows = [("s", [("p", None, None, None, None), None]), ("n", None), (None, [("p", "", None, None, None)])]
     df = spark.createDataFrame(rows, "session_id string, turns array<struct<user_prompt:string,assistant_output:string,parsed_intent:string,parsed_topic:string,generated_draft:string>>")
