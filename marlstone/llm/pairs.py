@@ -177,16 +177,20 @@ def opening(answer: str) -> tuple[str, str, bool, bool]:
     body = answer
     for _ in range(2):
         body = _COURTESY.sub("", _NOTE.sub("", visible(body)), count=1)
-    parts = [s.strip() for s in _SENT.split(body) if any(c.isalnum() for c in s)][:40]
+    parts = [s.strip() for s in _SENT.split(body) if any(c.isalnum() for c in s)]
     if not parts:
         return "", "", False, True
-    rest = [s for s in parts[1:] if not (_declines(s) or _ADVICE.search(unaccented(s)))]
-    more = sum(len(_WORD.findall(s)) for s in rest)
+    rest = more = 0
+    for s in parts[1:]:
+        if not (_declines(s) or _ADVICE.search(unaccented(s))):
+            rest, more = rest + 1, more + len(_WORD.findall(s))
+            if rest > 2 or more > 24:
+                break
     first = parts[0]
     masked = re.sub(r"\d+", "0", first)
     masked = re.sub(r"(?<=\S )[A-ZĐ][\w’'\-]*", "N", masked)
-    masked = " ".join(unaccented(w) for w in _WORD.findall(masked))[:400]
-    return first, masked, _declines(first), len(rest) <= 2 and more <= 24
+    masked = " ".join(unaccented(w) for w in _WORD.findall(masked))
+    return first, masked, _declines(first), rest <= 2 and more <= 24
 
 
 def ending(answer: str) -> tuple[str, str, str]:
@@ -278,7 +282,7 @@ def _check_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows = []
         for p, a in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
             p = p or ""
-            key = xxhash.xxh64_intdigest(" ".join(unaccented(re.sub(r"\d+|(?<=\S )[A-ZĐ]\w*", "0", p)).split()[:4])) - 2**63
+            key = xxhash.xxh64_intdigest(" ".join(unaccented(re.sub(r"\d+|(?<=\S )[A-ZĐ]\w*", "0", p)).split())) - 2**63
             if is_empty(a):
                 rows.append(("empty", key, None, False, False, "sound", "", ""))
                 continue
@@ -365,14 +369,16 @@ def alike(openings: DataFrame) -> DataFrame:
 
 def refusal_templates(checked: DataFrame) -> DataFrame:
     """(open): masked openings in clusters that recur across unrelated prompts and mostly decline."""
-    counted = checked.where("open is not null").groupBy("open").agg(F.max("declines").alias("declines"), F.collect_set(F.pmod("phash", F.lit(64))).alias("prompts"), F.count(F.lit(1)).alias("n"))
-    # prompts: which of 64 classes of prompts, so it is bounded; id: of 64 bits, at 10^10 different openings a few collisions must be expected
+    counted = checked.where("open is not null").groupBy("open").agg(F.max("declines").alias("declines"), F.count(F.lit(1)).alias("n"))
+    # id: of 64 bits, at 10^10 different openings a few collisions must be expected
     counted = written(counted.withColumn("id", F.xxhash64("open")), "openings")
     cluster = components(alike(counted)).select(F.col("node").alias("id"), "group")
     each = counted.join(cluster, "id", "left").withColumn("g", F.coalesce("group", "id"))
-    whole = each.groupBy("g").agg(
-        F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)).alias("yes"), F.sum("n").alias("all"), F.size(F.array_distinct(F.flatten(F.collect_set("prompts")))).alias("prompts"))
-    good = whole.where((F.col("prompts") >= LEAST_PROMPTS) & (F.col("yes") >= F.col("all") * LEAST_DECLINING)).select("g")
+    each = written(each.select("open", "id", "g", "declines", "n"), "each")
+    whole = each.groupBy("g").agg(F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0)).alias("yes"), F.sum("n").alias("all"))
+    whole = whole.where(F.col("yes") >= F.col("all") * LEAST_DECLINING)
+    asked = checked.where("open is not null").select(F.xxhash64("open").alias("id"), "phash").distinct().join(each.select("id", "g").join(whole, "g"), "id")
+    good = asked.groupBy("g").agg(F.countDistinct("phash").alias("prompts")).where(F.col("prompts") >= LEAST_PROMPTS).select("g")
     return each.join(good, "g").select("open")
 
 

@@ -193,6 +193,16 @@ def test_refusal_templates_come_from_recurrence(spark):
     assert {(r.record_id, r.defect) for r in pairs.broken_pairs(df).collect()} == {(r[1], "refusal") for r in known + odd}
 
 
+def test_refusals_read_whole_prompts_and_answers(spark):
+    """Prompts of one beginning are several, and neither late content nor the end of a long opening is left out."""
+    known = [("chat", f"k{i}", 0, f"Give me a checklist for the {w}", "Regrettably I cannot help with this particular request today.") for i, w in enumerate(["card", "clerk", "note", "permit"])]
+    odd = [("chat", "odd", 0, "Give me a checklist for the rules", "Regrettably I cnnot help with this particular request today.")]
+    late = " ".join(["I cannot help with this request.", *["Please contact the office."] * 45, *["The clerk must sign the card in the same week and print the note in colour."] * 4])
+    df = spark.createDataFrame([*known, *odd, ("chat", "late", 0, "Write a guide", late)], "origin string, record_id string, turn_no int, prompt string, answer string")
+    assert {(r.record_id, r.defect) for r in pairs.broken_pairs(df).collect()} == {(r[1], "refusal") for r in known + odd}
+    assert pairs.opening("word " * 200 + "end.")[1].endswith("word end")
+
+
 def test_all_similar_openings_are_linked(spark):
     """Every pair of brute force, also those unlike the least opening of whatever they have in common."""
     r = random.Random(3)
