@@ -71,6 +71,24 @@ def test_similar_pairs_match_brute_force(spark):
     assert neardup.similar_pairs(recs.where("false")).count() == 0 and neardup.similar_groups(recs.where("false")).count() == 0
 
 
+def test_recall_at_the_threshold():
+    """Pairs right above a similarity of 0.6 with a word overlap of about 0.7: at least 99.5 % share a key."""
+    r, table, pairs_ = random.Random(4), neardup.decoding_table(), []
+    new = lambda: f"w{r.randrange(10**6)}"
+    while len(pairs_) < 400:
+        a = [new() for _ in range(200)]
+        b = a + [new() for _ in range(70)]
+        while neardup.jaccard(" ".join(a), " ".join(b)) >= 0.6:
+            last, at = b, r.randrange(2, 198)
+            b = b[:at] + [new()] + b[at:]
+        pairs_.append((" ".join(a), " ".join(last)))
+    f = neardup.Fingerprints(neardup.SEGMENTS, neardup.EXACT, neardup.SHINGLE, neardup.LEAST_WORDS)
+    (_, _, x, p, _), (_, _, y, q, _) = (f.of([pair[side] for pair in pairs_]) for side in (0, 1))
+    near = lambda i, j: neardup.codewords_near(int(i), table) & neardup.codewords_near(int(j), table)
+    met = sum(any(p[n, k] == q[n, k] and near(x[n, k], y[n, k]) for k in range(neardup.SEGMENTS)) for n in range(len(pairs_)))
+    assert met >= 0.995 * len(pairs_), met
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 140)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
