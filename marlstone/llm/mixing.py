@@ -68,8 +68,9 @@ def mix(df: DataFrame, targets: DataFrame, *, text: str = "text", source: str =
     wanted = own.join(F.broadcast(spark.createDataFrame(t, shape)), "s")  # at most MOST_TARGETS rows
     totals = {x.s: x.n for x in wanted.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # a row for each target
     total = largest_exact_budget(totals, t) if budget is None else float(budget)
-    # passes that can be needed: with what share of the budget a source would be left if all but it were empty
-    need = [(s, w, max(1, min(r, -int(-total // totals[s]))) if budget is not None else max(1, min(r, -int(-total * w // totals[s])))) for s, w, r in t if totals.get(s)]
+    # passes that can be needed: without a budget those of a source's due, else those of a source alone, if all but it were empty
+    all_ = sum(w for s, w, _ in t if totals.get(s))
+    need = [(s, w, max(1, min(r, -int(-(total if budget is not None else total * w / all_) // totals[s])))) for s, w, r in t if totals.get(s)]
     per = own.join(F.broadcast(spark.createDataFrame(need, shape)), "s")
     h = F.xxhash64(F.lit(seed), F.col("k"), F.col("copy"))
     copies = per.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).select(

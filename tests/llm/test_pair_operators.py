@@ -175,6 +175,15 @@ def test_mix(spark):
     assert mixing.mix(docs.where("false"), targets).count() == 0 and mixing.mix(docs, targets.where("false"), sizes=sizes).count() == 0
 
 
+def test_mix_with_a_large_share_missing(spark):
+    """Shares of sources without documents go to the others, and the source that limits the mix gives all its repeats."""
+    docs = spark.createDataFrame([(i, "word " * 9, "a" if i < 20 else "b") for i in range(420)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 5), ("b", 0.3, 5), ("none", 0.4, 5)], "source string, target_share double, max_repeats int")
+    sizes = mixing.sized(docs)
+    got = {x.source: x for x in mixing.shares(mixing.mix(docs, targets, sizes=sizes), targets, sizes).collect()}
+    assert got["a"].mixed_records == got["b"].mixed_records == 100 and got["a"].most_repeats == 5 and got["none"].mixed_records == 0
+
+
 # --- broken pairs
 
 PAIRS = [
