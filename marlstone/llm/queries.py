@@ -71,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": splitting.SQL_FOUND, "p3_found": site_lines.SQL_FOUND, "p4_found": neardup.SQL_FOUND}
+    return {"p1_found": splitting.SQL_FOUND, "p3_found": site_lines.SQL_FOUND, "p3_clean": site_lines.SQL_CLEAN, "p4_found": neardup.SQL_FOUND}

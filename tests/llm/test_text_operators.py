@@ -115,6 +115,16 @@ def test_repeated_lines_match_brute_force(spark):
     assert site_lines.repeated_lines(df.where("false")).count() == 0
 
 
+def test_lines_go_by_their_own_text(spark):
+    """A key with two texts, and documents without a key, lose only the lines of their own text."""
+    rows = [(f"c{i}", f"d{i}", f"legal notice\nbody {chr(97 + i)}", "a.x") for i in range(6)]
+    rows += [("kx", "e1", "legal notice\nfirst body", "a.x"), ("kx", "e1", "keep me\nlegal notice", "www.A.x"), (None, "e2", "one\nlegal notice", "a.x"), (None, "e3", "legal notice\ntwo", "a.x"),
+             (None, "e4", None, "a.x"), ("far", "e5", "legal notice\nthree", None), ("far", "e5", "legal notice\nthree", "a.x"), ("alone", None, "legal notice", "a.x")]
+    got = sorted(((x.chunk_id, x.clean_text) for x in site_lines.without_repeated_lines(spark.createDataFrame(clash_rows(rows), CLASH)).collect()), key=repr)
+    want = [(f"c{i}", f"body {chr(97 + i)}") for i in range(6)] + [("kx", "first body"), ("kx", "keep me"), (None, "one"), (None, "two"), (None, None), ("far", "three"), ("alone", "legal notice")]
+    assert got == sorted(want, key=repr)
+
+
 # --- page bodies
 
 PAGES = [
