@@ -40,9 +40,9 @@ def _targets(targets: DataFrame) -> list[tuple[str, float, int]]:
 
 
 def sized(df: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(k, s, n): key, clean source and number of tokens of each distinct document that has any, written once."""
-    counted = with_tokens(df.select(F.col(key).alias("k"), clean_source(F.col(source)).alias("s"), F.col(text).alias("t")).where("s is not null and t is not null"),
-                          text="t", keep=["k", "s"], out="n", count_only=True, tokenizers=tokenizers, vocabulary=vocabulary)
+    """(k, s, th, n): key, clean source, hash of the text and number of tokens of each distinct document that has any, written once."""
+    own = df.select(F.col(key).alias("k"), clean_source(F.col(source)).alias("s"), F.xxhash64(text).alias("th"), F.col(text).alias("t")).where("s is not null and t is not null")
+    counted = with_tokens(own, text="t", keep=["k", "s", "th"], out="n", count_only=True, tokenizers=tokenizers, vocabulary=vocabulary)
     return written(counted.where("n > 0").distinct(), "sized")
 
 
@@ -72,23 +72,23 @@ def mix(df: DataFrame, targets: DataFrame, *, text: str = "text", source: str =
     all_ = sum(w for s, w, _ in t if totals.get(s))
     need = [(s, w, max(1, min(r, -int(-(total if budget is not None else total * w / all_) // totals[s])))) for s, w, r in t if totals.get(s)]
     per = own.join(F.broadcast(spark.createDataFrame(need, shape)), "s")
-    h = F.xxhash64(F.lit(seed), F.col("k"), F.col("copy"))
+    h = F.xxhash64(F.lit(seed), F.col("k"), F.col("th"), F.col("copy"))
     copies = per.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).select(
-        "k", "s", "w", "n", "copy", h.alias("h"), F.shiftrightunsigned(h, 64 - (RANGES - 1).bit_length()).cast("int").alias("b"))
+        "k", "s", "th", "w", "n", "copy", h.alias("h"), F.shiftrightunsigned(h, 64 - (RANGES - 1).bit_length()).cast("int").alias("b"))
     at = ["s", "copy", "b"]
     offsets = copies.groupBy(*at).agg(F.sum("n").alias("n")).withColumn(
         "before", F.sum("n").over(W.partitionBy("s").orderBy("copy", "b").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).drop("n")
-    within = copies.withColumn("cum", F.sum("n").over(W.partitionBy(*at).orderBy("h", "k").rowsBetween(W.unboundedPreceding, 0)))
+    within = copies.withColumn("cum", F.sum("n").over(W.partitionBy(*at).orderBy("h", "k", "th").rowsBetween(W.unboundedPreceding, 0)))
     timed = within.join(offsets, at).withColumn("finish", (F.col("before") + F.col("cum")) / F.col("w"))
     last = max((totals[s] * r / w for s, w, r in need), default=1.0)
     bounded = min(last, _finish_of(total, totals, need))
     # past this time the budget is spent, but for one document of each source, which the exact cut below decides
     v = timed.withColumn("v", F.least(F.floor(F.col("finish") / F.lit(bounded or 1.0) * RANGES), F.lit(RANGES * 2)).cast("int"))
-    v = written(v.select("k", "s", "n", "copy", "finish", "v"), "timed")
+    v = written(v.select("k", "s", "th", "n", "copy", "finish", "v"), "timed")
     v_off = v.groupBy("v").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     upto = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)  # at most 2 x RANGES + 1 rows
     v_off = v_off.select("v", (F.sum("tokens").over(upto) - F.col("tokens")).alias("t0"), (F.sum("rows").over(upto) - F.col("rows")).alias("p0")).where(F.col("t0") < F.lit(total))
-    order = W.partitionBy("v").orderBy("finish", "s", "k", "copy").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("v").orderBy("finish", "s", "k", "th", "copy").rowsBetween(W.unboundedPreceding, 0)
     placed = v.join(F.broadcast(v_off), "v").select("k", "s", "n", "copy", "t0", "p0", "finish", F.sum("n").over(order).alias("c"), F.count(F.lit(1)).over(order).alias("p"))
     kept = placed.where(F.col("t0") + F.col("c") <= F.lit(total))
     return kept.select((F.col("p0") + F.col("p")).alias("position"), F.col("k").alias(key), "copy", F.col("s").alias("source"), F.col("n").alias("n_tokens")).orderBy("position")

@@ -184,6 +184,21 @@ def test_mix_with_a_large_share_missing(spark):
     assert got["a"].mixed_records == got["b"].mixed_records == 100 and got["a"].most_repeats == 5 and got["none"].mixed_records == 0
 
 
+def test_mix_reaches_shares_when_most_of_the_target_is_missing(spark):
+    docs = spark.createDataFrame([(i, "word " * 9, "a" if i < 10 else "b") for i in range(210)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.2, 5), ("b", 0.2, 5), ("none", 0.6, 5)], "source string, target_share double, max_repeats int")
+    sizes = mixing.sized(docs)
+    got = {x.source: x for x in mixing.shares(mixing.mix(docs, targets, sizes=sizes), targets, sizes).collect()}
+    assert got["a"].most_repeats == 5 and abs(got["a"].share - 0.5) < 0.02 and abs(got["b"].share - 0.5) < 0.02
+
+
+def test_texts_of_equal_length_count_each(spark):
+    """Documents of one key and source whose different texts have equally many tokens are different documents."""
+    docs = spark.createDataFrame([(1, "one two", "a"), (1, "two one", "a"), (1, "one two", "A "), (2, "one two", "a")], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    assert [x.doc_id for x in mixing.mix(docs, targets).orderBy("doc_id").collect()] == [1, 1, 2]
+
+
 # --- broken pairs
 
 PAIRS = [
