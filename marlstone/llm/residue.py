@@ -1,11 +1,15 @@
 """Template residue, filler, error pages and script notices in place of content.
 
 A text is cut into sentences, and each is tried against grammars: one for each delimiter that template systems
-use, and one for each family of notices. A hit is then weighed by its surroundings. It is discounted inside code blocks
-and code spans, inside quotation marks of a longer sentence, and where the sentence tells something else: the
-density of notice words in it decides whether it *is* such a notice or only speaks of one.
+use, and one for each family of notices. A hit is then weighed by its surroundings.
 
-The density test comes first, so ordinary sentences never reach the grammars of notices. One pass over Arrow batches, no shuffle; each text is
+* Code. Fenced and indented blocks are left out, code spans and quotations within a longer sentence count nothing.
+* Tutorials. A template place loses weight where its sentence speaks of its kind of markup, where a neighbouring sentence does,
+  and by the share of the document's sentences that do.
+* Notices. The density of notice words decides whether a sentence, however long, *is* a notice or only speaks of one. Notice words are
+  function words and the words of the grammars themselves, by their stems, with few others.
+
+Cheap tests for parts of words come before every grammar. One pass over Arrow batches, no shuffle; each text is
 read whole. Null, empty and blank texts are never cases.
 """
 
@@ -14,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,30 +33,30 @@ LATIN_FILLER = set(
     reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa
     qui officia deserunt mollit anim id est laborum curabitur pretium tincidunt lacus gravida orci a odio nullam varius turpis
     commodo pharetra bibendum justo morbi vitae sodales cursus facilisis mauris vestibulum praesent suspendisse phasellus
-    vivamus pellentesque donec maecenas quisque aenean fusce nunc integer proin etiam vel eget ac bonorum malorum finibus
-    facile quintal salomar verutum""".split()
+    vivamus pellentesque donec maecenas quisque aenean fusce nunc integer proin etiam vel eget ac bonorum malorum finibus""".split()
 )
 #: Words that people hit to fill a field.
 KEYBOARD_FILLER = set("asdf asdfgh asdfghjkl qwerty qwertyuiop zzz xxx xxxx aaa aaaa test testing text foo bar baz blah bla yada abc".split())
 
-#: Words that notices of all families are made of; a sentence made of few others is a notice.
-NOTICE_WORDS = set(
-    """a about access account activate active activated activating address again ago all allow allowed an and another answer any app apologise apologize apologies
-    appear application are article as asked at automatically available back bad be because been before block blocked body browse browser browsers but button by cache call can cannot
-    caption captcha category check checked checking claim click client close code come coming complete configuration connection construction contact content continue contents cookie cookies copy
-    could currently database day days deleted denied description did disabled display do document does doesn down dummy e email enable enabled enabling error errors etc exceeded exist exists expired
-    experienced failed few file files filler find fix follow followed following for forbidden found from function functions gateway get go goes going gone had has have heading header here home host hours http https human if image
-    important in inc incident include index information insert internal invalid is issue it item its javascript java js just kindly label lack layer later launch layout limit line link links lipsum load loaded loading log logged login longer looking lorem
-    maintenance make making many may maybe message method minutes missing moment more moved must name need needed needs network new no nojs none not notice now number of off ok on once one only oops open opened or refused refuses connect headers disconnect reason upstream reset order organisation other otherwise our
-    out outage overloaded owner own page pages paragraph parts path permission permissions permitted picture placeholder planned please post powered press problem proceed process properly protected provide published publish query
-    reach reached ready received record redirected reference refresh refreshing rejected reload reloading removed replace reply report request requested requests require required requires resolve resource restricted
-    results retry return returned review right run running sample scheduled script scripting scripts search seconds section secure security see seem seems server servers service services session set settings setting
-    shortly should show shown side sign signed signing site sites some something soon sorry start status still stop stream subtitle support supported supports switch switched system tba tbc tbd technical temporarily temporary text than thanks that the their
-    then there these they thing this time timed timeout title to too traffic try trying turn turned type ua unable unauthorized unavailable unblock unblocked under unexpected unfortunately unknown until up update updated upgrade us
-    usable use used user users using valid verify verifying version view viewing visit visitor wait was way we web webpage website well went were what when where whoops will with without work working works wrong x you your
-    administrator administrators bot bots robot robots firewall ray id trace traceback most recent last render string undefined null object nan module key value values exception fatal warning failure offline sooner wip todo pending confirmed announced added supplied written
-    """.split()
+#: Function words.
+FUNCTION_WORDS = {
+    "en": set(
+        """a about again all already also am an and another any are aren as at be because been before but by can cannot could did do does doesn don down else etc for from get go gone goes got had has have here how i if in is isn it its
+        just kindly let ll may maybe me might more most moment must my need no none not nothing now of off oh ok on once one only oops or other otherwise our out own please re s should so some something soon sorry still t than thanks
+        that the their them then there these they thing this to too under until up us ve very was way we well went were what when where which whoops who will with without would you your yet""".split()
+    ),
+    "es": set("a al ante antes como con cuando de del desde donde el ella en entre es esta estamos estan este estos ha han hay la las le les lo los mas mientras muy nos o para pero por porque que se ser si sin sobre son su sus tambien un una unos usted y ya favor gracias".split()),
+    "vi": set("ban cac cua cho co con da de den do duoc hoac khi khong la lai luc moi mot nay nen neu nhung o quy sau se tai the theo thi trong tu va ve vi voi xin vui long hay roi".split()),
+}
+#: Words, by their stems, that notices hold beside function words and the words of the grammars below.
+NOTICE_STEMS = set(
+    """active administrator ago apologies apologise apologize appear ask automatically cache call captcha category claim click client close configuration continue cookie currently day e email exceed exception experienced failure fatal
+    firewall fix function hour important inc incident include invalid issue javascript key last launch layer looking make message method minute missing module nan network new nojs null number object order organisation part path picture post powered
+    press problem proceed properly query ray received recent redirected reference render report resolve result retry review run second secure security seem setting side start stop stream string technical temporary temporarily timeout
+    todo trace traceback traffic ua unauthorized undefined unfortunately upgrade usable use used user using valid value version visit wait webpage website wip x""".split()
 )
+#: Words of the grammars that ordinary sentences hold as often.
+ORDINARY = {"withdrawn", "photo", "form", "guide", "note", "summary"}
 
 #: What may stand between a notice's subject and what it says of it: no clause of its own.
 _GAP = r"(?:(?!\b(?:if|when|where|unless|because|since|once|after|before|until|so)\b)[^.!?]){0,60}?"
@@ -111,26 +116,88 @@ PLACES: list[tuple[str, str]] = [
     ("leftover", r"\[object Object\]|(?<![\w'])(?:undefined|NaN)(?![\w'])|(?<![\w'])(?:null|NULL|None|nil)(?=[.,;!]?\s*$)"),
     ("blank line", r"(?<!_)_{4,}(?!_)|\bXX/XX/XX|\bDD/MM/YYYY\b|\bXXXX+\b"),
 ]
+#: Words by which a sentence speaks of markup of any kind, and of that of one delimiter.
+TALK = r"syntax|placeholders?|merge (?:fields?|tags?)|template (?:languages?|engines?|variables?|tags?|syntax)|templating|interpolat\w+|delimiters?|(?:curly|double) braces?|(?:square|angle) brackets|markup|escape sequences?"
+_TEMPLATES = r"jinja2?|mustache|handlebars|liquid|twig|django|vue|angular|nunjucks|ansible|helm"
+TALK_OF: dict[str, str] = {
+    "{{ }}": _TEMPLATES,
+    "{% %}": _TEMPLATES,
+    "<% %>": r"erb|ejs|jsp|asp|rails|underscore\.js",
+    "<? ?>": r"php",
+    "${ }": r"shell|bash|zsh|environment variables?|export|groovy|maven|terminal|scripts?|commands?|javascript",
+    "#{ }": r"ruby|coffeescript|scala|pug",
+    "<< >>": r"heredocs?|shell|latex",
+    "[[ ]]": r"wikitext|mediawiki|wiki links?|bash|obsidian",
+    "% %": r"windows|batch files?|environment variables?|cmd",
+    "__ __": r"python|dunder|constants?|macros?",
+    "{ }": r"python|f-?strings?|format strings?|json|css|latex|bibtex|routes?",
+    "[ ] told": r"markdown|bbcode|wiki",
+    "[ ] name": r"markdown|bbcode|wiki",
+    "[ ] field": r"markdown|bbcode|wiki",
+    "< > told": r"html|xml",
+    "<!-- -->": r"html|xml|comments?",
+    "TODO": r"linters?|(?:code|todo) comments?",
+    "blank line": r"underscores?|date formats?",
+}
+#: What says of the code before it what it does.
+CODE_DOES = r"^[\s`'\"]*(?:prints|outputs|echoes|evaluates to|expands to|renders|stands for|is replaced (?:by|with))\b"
+#: How a sentence speaks of what a notice says.
+TELLS_OF = r"\b(?:page|message|error|notice|code|status|screen|banner|response|text)s?\b[^.!?]{0,40}?\b(?:says?|said|reads|tells?|told|means?|meant|states?|stated)\b"
 #: What programs print.
 TRACES = r"Traceback \(most recent call last\)|^\s*(?:at )[\w$.]+\([\w.]+:\d+\)|^\s*File \"[^\"\n]+\", line \d+|^[A-Z]\w*(?:Error|Exception)\b\s*:|\b(?:Warning|Fatal error|Notice|Parse error)\s*:\s*\w+\(?.*\bon line \d+|\{\s*\"(?:error|errors|status|message)\"\s*:|^\s*(?:Incident|Request|Ray|Reference|Trace)(?: ?id)?:?\s*#?[0-9a-f]{6,}\W*$|\bORA-\d{5}\b|\bSQLSTATE\b|\bstack trace\b\s*:|\bsegmentation fault\b"
 
 # --- grammars -----------------------------------------------------------------------------------------------------
 
-_PLACE = re.compile("|".join(f"(?:{p})" for _, p in PLACES))
+_PLACE = re.compile("|".join(f"({p})" for _, p in PLACES))
+_TALK = [re.compile(rf"\b(?:{TALK}{'|' + TALK_OF[name] if name in TALK_OF else ''})\b", re.I) for name, _ in PLACES]
+_CODE_DOES, _TELLS_OF = re.compile(CODE_DOES), re.compile(TELLS_OF)
 _TRACE = re.compile(TRACES, re.M)
 _NOTICE = [(f, re.compile(p)) for f, p in NOTICES]
 _OTHER = [(f, re.compile(p)) for f, p in NOTICES_OTHER]
 _QUOTED = re.compile(r"(?:(?<=^)|(?<=[\s(\[:]))(?:'[^'\n]{1,160}'|\"[^\"\n]{1,160}\"|‘[^’\n]{1,160}’|“[^”\n]{1,160}”|«[^»\n]{1,160}»|`[^`\n]{1,160}`)(?=[\s.,;:!?)\]]|$)")
 _FENCE = re.compile(r"^\s*(?:```|~~~).*?^\s*(?:```|~~~)\s*$", re.M | re.S)
+_INDENTED = re.compile(r"(?<=\n)(?:[^\S\n]*\n)((?: {4,}|\t)[^\n]*(?:\n|$))+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'’”»)]?\s+|\n+")
 _WRAP = re.compile(r"(?<=[^\n.!?:|])\n(?=[a-zà-ỹ$(\d])")
+_INVISIBLE = re.compile(f"[{''.join(chr(c) for c in range(0x80, 0xFFFF) if unicodedata.category(chr(c)) == 'Cf')}\U000e0000-\U000e007f\U0001d173-\U0001d17a]")
+
+
+def _grammar_words(grammars: list[tuple[str, str]]) -> set[str]:
+    """The words that stand in regular expressions."""
+    out: set[str] = set()
+    for _, g in grammars:
+        g = re.sub(r"\[[^\]]*\]", " ", re.sub(r"\\[a-zA-Z]|\(\?[:!<=]*", " ", g))
+        out |= set(re.findall(r"[a-z]{2,}", g.replace("?", "").replace("(s)", "s")))
+    return out
+
+
+_ENDINGS = ("ations", "ation", "ments", "ment", "ings", "ing", "ied", "ies", "ions", "ion", "ors", "or", "ed", "es", "ly", "s", "e", "y")
+
+
+def stem(word: str) -> str:
+    """The word without one ending and without a doubled last letter."""
+    for e in _ENDINGS:
+        if word.endswith(e) and len(word) - len(e) >= 3:
+            word = word[: -len(e)]
+            break
+    return word[:-1] if len(word) > 3 and word[-1] == word[-2] else word
+
+
+_STEMS = {stem(w) for w in NOTICE_STEMS | _grammar_words(NOTICES) - ORDINARY}
+_OTHER_STEMS = {stem(w) for w in _grammar_words(NOTICES_OTHER)} | FUNCTION_WORDS["es"] | FUNCTION_WORDS["vi"]
+
+
+@lru_cache(200_000)
+def _of_notices(word: str) -> bool:
+    return len(word) < 2 or word in FUNCTION_WORDS["en"] or stem(word) in _STEMS
+
 
 def plain(text: str) -> str:
     """Composed form, without invisible characters, every white space but line breaks as a space."""
-    t = unicodedata.normalize("NFC", text)
-    t = "".join(c for c in t if unicodedata.category(c) != "Cf") if not t.isascii() else t
-    return re.sub(r"[^\S\n]+", " ", t.replace("\r\n", "\n").replace("\r", "\n"))
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFC", text))
+    return re.sub(r"[^\S\n]+", " ", text.replace("\r\n", "\n").replace("\r", "\n"))
 
 
 def unaccented(text: str) -> str:
@@ -138,37 +205,52 @@ def unaccented(text: str) -> str:
     return "".join(c for c in d if not unicodedata.combining(c)).replace("đ", "d")
 
 
-def _filler(words: list[str]) -> bool:
-    low = [w.lower() for w in words]
-    latin = sum(w in LATIN_FILLER for w in low)
-    keys = sum(w in KEYBOARD_FILLER for w in low)
-    real = [w for w in low if len(w) > 3 and w in LATIN_FILLER]
-    if len(low) >= 3 and latin >= 0.7 * len(low) and len(real) >= 3:
-        return True
-    if len(low) >= 3 and keys >= 0.9 * len(low):
+def without_code(text: str) -> str:
+    """The text without fenced blocks and without indented blocks between blank lines that hold no prose."""
+    t = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+    if "```" in t or "~~~" in t:
+        t = _FENCE.sub("\n", t)
+    if "\n    " in t or "\n\t" in t:
+        t = _INDENTED.sub(lambda m: m.group() if any(len(_WORD.findall(_PLACE.sub("", x))) > 3 for x in m.group().split("\n")) else "\n", t)
+    return t
+
+
+def _dense(at: list[int], most: int, among: int) -> bool:
+    """Whether so many of the places lie among so many words."""
+    return any(at[i + most - 1] - at[i] < among for i in range(len(at) - most + 1))
+
+
+def _filler(low: list[str]) -> bool:
+    if len(low) < 3:
+        return False
+    latin = [i for i, w in enumerate(low) if len(w) > 3 and w in LATIN_FILLER]
+    if len(latin) >= 3 and (sum(w in LATIN_FILLER for w in low) >= 0.7 * len(low) or _dense(latin, 5, 8)):
         return True
-    if len(low) >= 3 and all(len(w) > 2 and len(set(w)) == 1 for w in low):
+    keys = [i for i, w in enumerate(low) if w in KEYBOARD_FILLER]
+    if keys and (len(keys) >= 0.9 * len(low) or _dense([i for i in keys if low[i] not in _PLAIN_KEYS], 6, 6)):
         return True
-    return len(low) >= 4 and len(set(low)) == 1 and len(low[0]) > 1
+    return len(low[0]) > 1 and (len(low) >= 4 and len(set(low)) == 1 or len(low[0]) > 2 and all(len(w) > 2 and len(set(w)) == 1 for w in low))
 
 
+#: Words of the keyboard list that ordinary sentences hold too.
+_PLAIN_KEYS = {"text", "testing"}
 #: Headings that ask a question about a subject of their own.
 _TITLE = re.compile(r"[\W\d]*(?:when|why|how|who|what|where) (?:the|a|an|has|to)\b")
-#: Runs of filler inside a line that was joined with its neighbours.
-_KEY_RUN = re.compile(r"(?:(?<!\w)(?:%s)(?!\w)[\s,.]*){6,}" % "|".join(sorted(KEYBOARD_FILLER - {"text", "testing", "abc"}) + ["abc"]), re.I)
-_LATIN_RUN = re.compile(r"(?:(?<!\w)(?:%s)(?!\w)[\s,.]*){5,}" % "|".join(sorted(w for w in LATIN_FILLER if len(w) > 3)), re.I)
-_RUN_HINT = re.compile(r"asdf|qwerty|zzz|xxx|test test|foo|lorem|ipsum|amet|magna|velit|sodales|morbi|nulla|elit\b", re.I)
 _REPEATED = re.compile(r"\W*(\d{2,}|[a-z]{2,})(?:[ ,;]+\1){3,}\W*", re.I)
+#: Other words that a notice may hold, and the share of a long one's words they may be.
+FEW_WORDS, FEW_SHARE = 2, 0.08
+#: Words of a sentence in Spanish or Vietnamese up to which it is short; of a longer one most must be words of notices.
+SHORT_OTHER, DENSE_OTHER = 18, 0.8
 
 
-def _tells(words: list[str]) -> bool:
-    """Whether the sentence says more than notices do: over two words that are neither words of notices nor,
+def _tells(words: list[str], quotations: int) -> bool:
+    """Whether the sentence says more than notices do: too many quotations and words that are neither words of notices nor,
     being capitalised inside the sentence, names."""
-    other = 0
+    other, most = quotations, max(FEW_WORDS, FEW_SHARE * len(words))
     for i, w in enumerate(words):
-        if len(w) > 1 and w.lower() not in NOTICE_WORDS and not (i and w[0].isupper()):
+        if not _of_notices(w.lower()) and not (i and w[0].isupper()):
             other += 1
-            if other > 2:
+            if other > most:
                 return True
     return False
 
@@ -177,57 +259,88 @@ def _outside_words(sentence: str, start: int, end: int) -> int:
     return len(_WORD.findall(sentence[:start])) + len(_WORD.findall(sentence[end:]))
 
 
-def residue_in(sentence: str) -> str | None:
-    """The family of residue in one sentence, or None."""
-    quotes: list[tuple[int, int]] | None = None
+def _quoted(sentence: str, start: int, end: int) -> bool:
+    """Whether the place lies in a code span beside other words, or in a quotation beside three or more."""
+    return any(a < start and end < b and _outside_words(sentence, a, b) >= (1 if sentence[a] == "`" else 3) for a, b in (m.span() for m in _QUOTED.finditer(sentence)))
 
-    def quoted(start: int, end: int) -> bool:
-        nonlocal quotes
-        if quotes is None:
-            quotes = [m.span() for m in _QUOTED.finditer(sentence)]
-        return any(a < start and end < b and _outside_words(sentence, a, b) >= 3 for a, b in quotes)
 
-    if _DELIMITER.search(sentence):
-        for m in _PLACE.finditer(sentence):
-            if m.group().lower() not in ("[sic]", "[x]", "[ ]", "[...]", "[…]") and not quoted(*m.span()):
-                return "placeholder"
-    words = _WORD.findall(sentence)
-    if _TRACE_HINT.search(sentence) and _TRACE.search(sentence):
+#: What a template place keeps of its weight of 1 where its sentence speaks of its markup, and where a neighbouring sentence does; the weight from which it counts.
+OWN_TALK, NEAR_TALK, LEAST_WEIGHT = 0.25, 0.6, 0.5
+
+
+def _weight(sentences: list[str], n: int, m: re.Match[str], talking: dict[int, tuple[list[bool], int]]) -> float:
+    """What a template place in the n-th sentence weighs in its surroundings. ``talking`` keeps, for each delimiter, which sentences speak of its markup."""
+    s, talk = sentences[n], _TALK[m.lastindex - 1]
+    if _quoted(s, *m.span()):
+        return 0.0
+    weight = 1.0
+    if _outside_words(s, *m.span()) >= 2 and (talk.search(s, 0, m.start()) or talk.search(s, m.end()) or _CODE_DOES.search(s[m.end() :])):
+        weight *= OWN_TALK
+    if m.lastindex not in talking:
+        of = [bool(talk.search(x)) for x in sentences]
+        talking[m.lastindex] = [*of, False], sum(of)  # the last has no next, the first no previous
+    of, count = talking[m.lastindex]
+    if of[n - 1] or of[n + 1]:
+        weight *= NEAR_TALK
+    return weight * (1 - (count - of[n]) / max(1, len(sentences) - 1))
+
+
+def _hints(text: str) -> tuple[list[str], list[str], list[str]]:
+    """Of each list of hints those that the text holds at all."""
+    low = text.lower()
+    return [h for h in _PLACE_HINTS if h in text], [h for h in _TRACE_HINTS if h in text], [h for h in _OTHER_HINTS if h in low]
+
+
+def residue_in(sentences: list[str], n: int, hints: tuple[list[str], list[str], list[str]], talking: dict[int, tuple[list[bool], int]]) -> str | None:
+    """The family of residue in the n-th sentence, or None; ``hints`` are those of the whole text."""
+    sentence = sentences[n]
+    low = sentence.lower()
+    places, traces, others = hints
+    if (_MARKS.search(sentence) or places and any(h in sentence for h in places)) and any(_weight(sentences, n, m, talking) >= LEAST_WEIGHT for m in _PLACE.finditer(sentence) if m.group().lower() not in _NO_PLACES):
+        return "placeholder"
+    if traces and any(h in sentence for h in traces) and _TRACE.search(sentence):
         return "error"
-    if _filler(words) or _REPEATED.fullmatch(sentence) or _RUN_HINT.search(sentence) and (_KEY_RUN.search(sentence) or _LATIN_RUN.search(sentence)):
+    words = _WORD.findall(sentence)
+    if _filler([w.lower() for w in words]) or _REPEATED.fullmatch(sentence):
         return "filler"
-    if len(words) <= 32 and not _tells(words):
-        low = sentence.lower().replace("’", "'")
-        title = _TITLE.match(low)
+    if not _tells(words, sum(_outside_words(sentence, *m.span()) >= 3 for m in _QUOTED.finditer(sentence)) if _QUOTES.search(sentence) else 0):
+        low = low.replace("’", "'")
+        title, told = _TITLE.match(low), _TELLS_OF.search(low)
         for family, grammar in _NOTICE:
-            if (m := grammar.search(low)) and not quoted(*m.span()) and not (title and family == "error"):
+            if (m := grammar.search(low)) and not (title and family == "error") and not (told and told.start() < m.end() - 1) and not _quoted(sentence, *m.span()):
                 return family
-    if len(words) <= 18 and _OTHER_HINT.search(sentence):
+    if others and any(h in low for h in others):
         bare = unaccented(sentence)
+        if len(words) > SHORT_OTHER and sum(w in _OTHER_STEMS or stem(w) in _OTHER_STEMS for w in _WORD.findall(bare)) < DENSE_OTHER * len(words):
+            return None
         for family, grammar in _OTHER:
-            if (m := grammar.search(bare)) and not quoted(*m.span()):
+            if (m := grammar.search(bare)) and not _quoted(sentence, *m.span()):
                 return family
     return None
 
 
-_DELIMITER = re.compile(r"[{}<«%$#\[@_]|\*\||\((?:TB|TK|TODO|FIX)|undefined|NaN|null|NULL|None|nil|TODO|FIXME|TB[CD]_|XX|DD/MM")
-_TRACE_HINT = re.compile(r"Traceback|\(\w+\.\w+:\d|File \"|Error|Exception|on line|\{\s*\"|[0-9a-f]{6}|ORA-|SQLSTATE|trace|fault")
-#: Words of which notices in Spanish and Vietnamese always have one.
-_OTHER_HINT = re.compile(
-    r"script|error|p[aá]gina|acceso|permiso|navegador|mantenimiento|disponible|existe|encontr|servicio de|sitio|tarde|de nuevo|pronto|solicitudes|peticiones|conectar|cargar|texto|ejemplo|relleno|pr[oó]ximamente|construcci[oó]n|contenido|inserte|aqu[ií]|publicar|reemplac|pendiente|por (?:definir|confirmar|completar)|human|"
-    r"\b(?:lỗi|loi|trang|quyền xem|quyen xem|truy cập|truy cap|bảo trì|bao tri|quay lại|quay lai|thử lại|thu lai|trình duyệt|trinh duyet|nội dung|noi dung|bài viết|bai viet|văn bản|van ban|ra mắt|ra mat|xây dựng|xay dung|cập nhật|cap nhat|quá tải|qua tai|tồn tại|ton tai|xác minh bạn|xac minh ban|đoạn|doan|chèn|chen)\b",
-    re.I,
-)
+_QUOTES = re.compile("['\"‘“«`]")
+_MARKS = re.compile(r"[{}<«%$#\[@]|__|\*\|")
+_PLACE_HINTS = ("(TB", "(TK", "(TODO", "(FIX", "undefined", "NaN", "null", "NULL", "None", "nil", "TODO", "FIXME", "TBC_", "TBD_", "XX", "DD/MM")
+_NO_PLACES = ("[sic]", "[x]", "[ ]", "[...]", "[…]")
+_TRACE_HINTS = ("Traceback", "File \"", "Error", "Exception", "on line", "\"error", "\"status", "\"message", "ORA-", "SQLSTATE", "trace", "fault", "Incident", "Request", "Ray", "Reference", "Trace", ".java:", ".js:", ".py:", ".ts:", ".kt:", ".scala:", ".cs:", ".go:", ".rb:")
+#: Parts of words of which notices in Spanish and Vietnamese always have one.
+_OTHER_HINTS = (
+    "script error página pagina acceso permiso navegador mantenimiento disponible existe encontr servicio sitio tarde nuevo pronto solicitudes peticiones conectar cargar texto ejemplo relleno róximamente roximamente construcci contenido inserte aquí aqui publicar "
+    "reemplac pendiente definir confirmar completar human lỗi loi trang quyền quyen truy bảo bao quay thử thu trình trinh nội noi bài bai văn van mắt mat xây xay cập cap quá qua tồn ton xác xac đoạn doan chèn chen bật bat"
+).split()
 
 
 def residue_of(text: str | None) -> tuple[str, str] | None:
     """The family and the sentence of the first residue in ``text``, or None."""
     if not text or text.isspace():
         return None
-    t = _WRAP.sub(" ", _FENCE.sub("\n", plain(text)))
-    for s in _SENTENCE.split(t):
-        if (s := s.strip()) and (family := residue_in(s)):
-            return family, s
+    t = _WRAP.sub(" ", plain(without_code(text)))
+    sentences = [s for x in _SENTENCE.split(t) if (s := x.strip())]
+    hints, talking = _hints(t), {}
+    for n in range(len(sentences)):
+        if family := residue_in(sentences, n, hints, talking):
+            return family, sentences[n]
     return None
 
 

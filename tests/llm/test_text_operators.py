@@ -196,6 +196,11 @@ CASES = [
     ("[ ] Sign the form\n[x] Print the note", False), ("```\nHello {{name}}\n```\nThe clerk keeps the note.", False), ("No appeal file is corrected if the referee cannot be reached.", False),
     ("Under construction sites, a clerk must check the note.", False), ("When the overseas record is withdrawn for Ostoby sites", False), ("The clerk keeps the note and zzz asdf asdf asdf test asdf asdf", True), ("Type something about your team.", True),
     ("", False), ("   \n", False), (None, False),
+    ("In Jinja you write {{ name }} to print a value.", False), ("Templates are short.\n\n    {{ user.name }}\n\nThe clerk keeps them.", False), ("Set ${HOME} before you run the script.", False),
+    ("<?php echo 1; ?> prints one.", False), ("Use [Name] tags in Markdown.", False), ("The 404 error page says the page was not found.", False), ("Keep `{{id}}` as it is.", False),
+    ("Mustache is a template language. Each value is named once.\nWrite {{name}} where it goes.\nMustache leaves the rest.", False), ("Dear <?php echo $name; ?>, your form was signed.", True), ("The clerk in ${OFFICE} must print the note.", True),
+    ("JavaScript is required and must be enabled in the settings of your browser before you can view this page or use any of the services on this site, so please turn it on now and then reload the page and try again", True),
+    ("Para ver esta página y usar los servicios de este sitio active JavaScript en su navegador y después vuelva a cargar la página, por favor, o inténtelo de nuevo más tarde con otro navegador", True),
 ]
 
 
