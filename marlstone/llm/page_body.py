@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.samples import least_hashed
+
 #: Labelled pages: at most so many records, those of least hash.
 TRAIN_PAGES = 3000
 KINDS = ["main", "menu", "notice", "related", "edge"]
@@ -330,18 +332,8 @@ def _infer_batches(model: Model, want: str, block: int = 512):
 
 
 def labelled_sample(df: DataFrame, *, text: str = "text", key: str = "chunk_id", most: int = TRAIN_PAGES) -> list[str]:
-    """Texts of at most ``most`` records, those of least hash of their key.
-
-    Hashes are uniform, so a bound on them that twice as many records pass lets few rows leave any task; should
-    fewer than ``most`` pass (as where keys repeat much), all are considered.
-    """
-    h = df.select(F.xxhash64(F.lit(3), F.col(key)).alias("h"), F.col(text).alias("t")).where("t is not null")
-    rows = df.count()
-    if rows <= 2 * most:
-        return [r.t for r in h.orderBy("h", "t").limit(most).collect()]
-    bound = int(2**64 * min(1.0, 2 * most / rows)) - 2**63
-    got = h.where(F.col("h") < bound).orderBy("h", "t").limit(most).collect()
-    return [r.t for r in (got if len(got) == most else h.orderBy("h", "t").limit(most).collect())]
+    """Texts of at most ``most`` records, those of least hash."""
+    return [r.t for r in least_hashed(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null"), most, 3)]
 
 
 def fit(df: DataFrame, *, text: str = "text", key: str = "chunk_id", most: int = TRAIN_PAGES) -> Model:
