@@ -2,12 +2,14 @@
 
 A record's lines form a tree: a page node, under it the lines; an item of a bulleted run hangs on the line that
 introduces the run, any other line on the line before it, by an edge that says whether blank lines part
-them. Each line is main body or one of four kinds of furniture. A node potential comes from a log-linear model of
-the line's wording and shape, an edge potential says how well a parent's kind goes with a child's. Sum-product
+them. Each line is main body or one of five kinds of furniture. A node potential comes from a log-linear model of
+the line's cues, wording, shape and place, an edge potential says how well a parent's kind goes with a child's. Sum-product
 message passing, upward then downward, gives each line's exact marginal; lines whose marginal favours furniture go.
 
 Both kinds of potential are trained from labelled pages: a bounded sample of the table (``TRAIN_PAGES``) whose
-lines are labelled by high-precision seed rules, lines without a seed being left out of node training. Only the
+lines are labelled by high-precision seed rules. Lines without a seed have no label at first; those of which the first model
+is sure take part in a second round. Every labelled line is learned twice, with and without its cues, so wording, shape, place and
+neighbours tell also lines that no list knows. Only the
 weights leave the driver, and their number is fixed. Inference is one pass over Arrow batches without a shuffle,
 vectorised over all pages of a batch, level by level of their trees.
 """
@@ -16,11 +18,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +32,16 @@ from marlstone.llm.samples import least_hashed
 
 #: Labelled pages: at most so many records, those of least hash.
 TRAIN_PAGES = 3000
-KINDS = ["main", "menu", "notice", "related", "edge"]
-MAIN, MENU, NOTICE, RELATED, EDGE = range(5)
+#: Words of a sentence from which it is main body for sure, and the marginal from which a line without a seed takes part in the second round.
+SURE_WORDS, SURE = 5, 0.9
+#: Weight of a cue for its kind before training, and what a line learned without its cues counts.
+PRIOR, HIDDEN = 6.0, 0.3
+#: A box of links is its head and the related lines below it: apart, so that edges tell that links begin below a head.
+KINDS = ["main", "menu", "notice", "related", "edge", "head"]
+MAIN, MENU, NOTICE, RELATED, EDGE, HEAD = range(6)
 HASHED = 4096
 EDGES = ["next", "gap", "item"]
+LINK_MARKS = ("›", "»", "▸")
 
 # --- fixed values: words of page furniture in English, Vietnamese and Spanish --------------------------------------
 
@@ -83,7 +93,9 @@ def _only(words: set[str]) -> re.Pattern[str]:
 _ALL_MENU, _ALL_BUTTONS = _only(MENU_WORDS), _only(BUTTONS)
 _COOKIE_HINTS = ("cookie", "track", "tags", "storage", "small files", "consent record", "tệp", "almacena", "archivos", "pixel")
 _EDGE = re.compile("|".join(f"(?:{p})" for p in CUES.values()), re.I)
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile(r"\d")
+#: Words of a title below which each of its words counts.
+SHORT_TITLE = 5
 _CRUMB = re.compile(r"\s+[>»›/|·]\s+")
 
 
@@ -115,11 +127,15 @@ def cues_of(line: str, bare: str, stop: bool, count: int) -> list[str]:
 class Line:
     """One non-blank line: its number, wording, cues and shape, and whether blank lines stand before it."""
 
-    __slots__ = ("no", "text", "cues", "title", "mark", "gap", "words", "stop", "slots")
+    __slots__ = ("no", "text", "cues", "title", "mark", "gap", "words", "stop", "told", "base")
 
     def __init__(self, no: int, raw: str, gap: bool):
         self.no, self.gap = no, gap
-        self.text, self.cues, self.title, self.mark, self.words, self.stop, self.slots = _parts_of(raw)
+        self.text, self.cues, self.title, self.mark, self.words, self.stop, self.told, self.base = _parts_of(raw)
+
+    @property
+    def slots(self) -> list[int]:
+        return self.told + self.base
 
 
 @lru_cache(200_000)
@@ -129,10 +145,10 @@ def _parts_of(raw: str) -> tuple:
     mark = next(("#" if g[0] == "#" else "n" if g[0].isdigit() else g[0]) for g in m.groups() if g) if m else ""
     bare = text[m.end() :] if m else text
     words = [w.lower() for w in _WORDS.findall(bare)]
-    stop = bool(_STOP.search(text))
+    stop = bool(_STOP.search(text[-12:]))
     cues = cues_of(text, bare, stop, len(words))
     title = not stop and len(words) <= 18 and "|" not in text
-    return text, cues, title, mark, words, stop, features_of(text, cues, title, mark, words, stop)
+    return text, cues, title, mark, words, stop, _cue_slots(cues, words), _base_slots(text, title, mark, words, stop)
 
 
 def lines_of(text: str | None) -> list[Line]:
@@ -144,6 +160,8 @@ def lines_of(text: str | None) -> list[Line]:
             gap = False
         else:
             gap = True
+    for i, x in enumerate(out):
+        x.base = [*x.base, _slot(f"top:{min(i, 3)}"), _slot(f"end:{min(len(out) - 1 - i, 3)}")]
     return out
 
 
@@ -170,32 +188,43 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) % HASHED
 
 
-def features_of(text: str, cues: list[str], title: bool, mark: str, words: list[str], stop: bool) -> list[int]:
-    """Slots of the line's features. Lines that could be a heading or a teaser alike give little wording, so that
-    their neighbours decide."""
-    n = len(words)
-    size = n if n < 3 else 3 if n < 7 else 7 if n < 12 else 12 if n < 20 else 20
+def _size(n: int) -> int:
+    return n if n < 3 else 3 if n < 7 else 7 if n < 12 else 12 if n < 20 else 20
+
+
+def _cue_slots(cues: list[str], words: list[str]) -> list[int]:
+    """Slots of what the lists say of a line."""
     f = [f"c:{c}" for c in cues] or ["c:"]
-    f += [f"m:{mark}", f"n:{size}", f"shape:{stop}{title}{bool(mark)}{bool(cues)}", f"bar:{'|' in text}{any(c.isdigit() for c in text)}"]
-    if title and not cues:
+    if cues and "cookie-" not in cues:
+        f.append(f"n+:{_size(len(words))}")
+    return [_slot(k) for k in f]
+
+
+def _base_slots(text: str, title: bool, mark: str, words: list[str], stop: bool) -> list[int]:
+    """Slots of the line's wording and shape, whatever the lists say. Longer lines that could be a heading or a teaser alike
+    give little wording, so that their neighbours decide."""
+    n = len(words)
+    f = [f"m:{mark}", f"n:{_size(n)}", f"shape:{stop}{title}{bool(mark)}", f"bar:{'|' in text}{bool(_DIGIT.search(text))}"]
+    if title:
         lead = text.lstrip("-*•›» ")[:1]
         f += [f"title:{mark}:{lead.isupper()}", f"e:{words[-1] if words else ''}", f"b:{' '.join(words[:2])}", f"low:{lead.islower()}"]
-    elif cues and "cookie-" not in cues:
-        f.append(f"n+:{size}")
-    elif n < 30:
-        f += [f"w:{w}" for w in words] + [f"b:{' '.join(words[:2])}", f"e:{words[-1] if words else ''}"]
+    if n < (SHORT_TITLE if title else 30):
+        f += [f"w:{w}" for w in words]
+        if not title:
+            f += [f"b:{' '.join(words[:2])}", f"e:{words[-1] if words else ''}"]
     return [_slot(k) for k in f]
 
 
 def seed_labels(lines: list[Line]) -> list[int | None]:
-    """Labels of the lines that the seed rules are sure of."""
+    """Labels of the lines that the seed rules are sure of: lines with a cue, lines directly below the head of a box,
+    sentences without a cue, and lines without a cue that lead to such a sentence or go on from it. None for the rest: lines between furniture, and what looks like a link."""
     out: list[int | None] = []
     related = False
-    for i, x in enumerate(lines):
+    for x in lines:
         c = x.cues
         label: int | None = None
         if "head" in c:
-            label, related = RELATED, True
+            label, related = HEAD, True
         elif "menu" in c or "crumb" in c or "skip" in c:
             label, related = MENU, False
         elif "button" in c or "cookie+" in c:
@@ -206,8 +235,18 @@ def seed_labels(lines: list[Line]) -> list[int | None]:
             label = RELATED
         else:
             related = False
-            label = MAIN
+            if x.mark == "#" or x.stop and len(x.words) >= SURE_WORDS:
+                label = MAIN
         out.append(label)
+    # what leads to main body, over a byline or the like, or goes on from it, is main body, unless it looks like a link
+    free = [label is None and not x.cues and x.mark not in LINK_MARKS for x, label in zip(lines, out)]
+    for at in (range(len(lines) - 1, -1, -1), range(len(lines))):
+        near = None
+        for i in at:
+            if free[i] and out[i] is None and near == MAIN:
+                out[i] = MAIN
+            if out[i] != EDGE or at.step > 0:
+                near = out[i]
     return out
 
 
@@ -217,50 +256,72 @@ def seed_labels(lines: list[Line]) -> list[int | None]:
 class Model:
     """Node weights (slots x kinds), log prior, edge log potentials (edges x parent x child) and page prior."""
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, edges: np.ndarray, first: np.ndarray):
-        self.weights, self.bias, self.edges, self.first = weights, bias, edges, first
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, edges: np.ndarray, first: np.ndarray, cues: bool = True):
+        self.weights, self.bias, self.edges, self.first, self.cues = weights, bias, edges, first, cues
+
 
+def _prior() -> np.ndarray:
+    """Node weights before anything is learned: a cue speaks for the kind that it labels."""
+    w = np.zeros((HASHED, len(KINDS)))
+    kinds = {"head": HEAD, "menu": MENU, "crumb": MENU, "skip": MENU, "button": NOTICE, "cookie+": NOTICE}
+    for cue in [*kinds, *(c for c in CUES if c not in kinds)]:
+        w[_slot(f"c:{cue}"), kinds.get(cue, EDGE)] = PRIOR
+    return w
 
-def train(texts: list[str | None], rounds: int = 40, rate: float = 0.5) -> Model:
-    """Fit node weights by gradient steps on labelled lines and edge potentials by smoothed counts."""
+
+def _fit_nodes(examples: Counter, w: np.ndarray, b: np.ndarray, rounds: int, rate: float, prior: np.ndarray) -> None:
+    """Gradient steps, in place, on (slots, label) with their counts."""
     k = len(KINDS)
-    ids, starts, labels = [], [], []
-    pair = np.ones((len(EDGES), k, k))
-    pair += np.eye(k)  # a page without examples keeps kinds together
-    first = np.ones(k)
-    for t in texts:
-        lines = lines_of(t)
-        seeds = seed_labels(lines)
-        for i, (x, (p, e)) in enumerate(zip(lines, parents_of(lines))):
-            if seeds[i] is None:
-                continue
-            starts.append(len(ids))
-            ids += x.slots
-            labels.append(seeds[i])
-            if p < 0:
-                first[seeds[i]] += 1
-            elif seeds[p] is not None:
-                pair[e, seeds[p], seeds[i]] += 1
-    share = np.bincount(labels, minlength=k) + 1.0
-    share /= share.sum()
-    edges = np.log(pair / pair.sum(2, keepdims=True)) - np.log(share)
-    w, b = np.zeros((HASHED, k)), np.log(share)
-    if labels:
-        y = np.eye(k)[labels]
-        ids_a, starts_a = np.array(ids), np.array(starts)
-        lengths = np.diff(np.append(starts_a, len(ids_a)))
-        of = np.repeat(np.arange(len(labels)), lengths)
-        seen = np.full((HASHED, 1), 1e-3)
-        for _ in range(rounds):
-            s = np.add.reduceat(w[ids_a], starts_a, axis=0) + b
-            s -= s.max(1, keepdims=True)
-            p = np.exp(s)
-            p /= p.sum(1, keepdims=True)
-            g = (y - p)[of]
-            grad = np.stack([np.bincount(ids_a, g[:, j], HASHED) for j in range(k)], 1) - 0.2 * w
-            seen += (grad**2).mean(1, keepdims=True)
-            w += rate * grad / np.sqrt(seen)
-    return Model(w.astype(np.float32), b, edges, np.log(first / first.sum()) - np.log(share))
+    y, count = np.eye(k)[[label for _, label in examples]], np.sqrt(np.array(list(examples.values()), float))[:, None]
+    lengths = np.array([len(slots) for slots, _ in examples])
+    ids = np.concatenate([np.array(slots) for slots, _ in examples])
+    starts, of = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths)
+    seen = np.full((HASHED, 1), 1e-3)
+    for _ in range(rounds):
+        p = np.add.reduceat(w[ids], starts, axis=0) + b
+        p = np.exp(p - p.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = ((y - p) * count)[of]
+        grad = np.stack([np.bincount(ids, g[:, j], HASHED) for j in range(k)], 1) - 0.2 * (w - prior)
+        seen += (grad**2).mean(1, keepdims=True)
+        w += rate * grad / np.sqrt(seen)
+
+
+def train(texts: list[str | None], rounds: int = 40, rate: float = 0.5, cues: bool = True) -> Model:
+    """Fit node weights by gradient steps on labelled lines and edge potentials by smoothed counts.
+
+    The second round adds the lines without a seed of which the first model is sure. Without ``cues``, seeds only label: no cue is a feature."""
+    k = len(KINDS)
+    pages = [p for p in map(lines_of, texts) if p]
+    seeds = [seed_labels(p) for p in pages]
+    prior = _prior()
+    w, b = prior.copy(), np.zeros(k)
+    model = Model(w.astype(np.float32), b, np.zeros((len(EDGES), k, k)), np.zeros(k), cues)
+    for steps in (rounds, rounds // 2):
+        examples, pair, first = Counter(), np.full((len(EDGES), k, k), 0.2) + np.eye(k), np.ones(k)  # without examples kinds stay together
+        pair[:, HEAD, RELATED] += 5  # and links come below a head
+        for lines, labels in zip(pages, seeds):
+            for i, (x, (p, e)) in enumerate(zip(lines, parents_of(lines))):
+                if labels[i] is None:
+                    continue
+                if cues:
+                    examples[tuple(x.slots), labels[i]] += 1
+                examples[tuple(x.base), labels[i]] += HIDDEN if cues else 1
+                if p < 0:
+                    first[labels[i]] += 1
+                elif labels[p] is not None:
+                    pair[e, labels[p], labels[i]] += 1
+        if not examples:
+            break
+        share = np.bincount([label for labels in seeds for label in labels if label is not None], minlength=k) + 1.0
+        share /= share.sum()
+        b[:] = np.log(share)
+        _fit_nodes(examples, w, b, steps, rate, prior)
+        model = Model(w.astype(np.float32), b, np.log(pair / pair.sum(2, keepdims=True)) - np.log(share), np.log(first / first.sum()) - np.log(share), cues)
+        if steps == rounds:
+            got = marginals(model, pages)
+            seeds = [[int(m[i].argmax()) if s is None and m[i].max() >= SURE else s for i, s in enumerate(labels)] for labels, m in zip(seeds, got)]
+    return model
 
 
 # --- inference ----------------------------------------------------------------------------------------------------
@@ -279,7 +340,7 @@ def marginals(model: Model, pages: list[list[Line]]) -> list[np.ndarray]:
         own: list[int] = []
         for x, (p, e) in zip(lines, parents_of(lines)):
             starts.append(len(ids))
-            ids += x.slots
+            ids += x.slots if model.cues else x.base
             parent.append(base + p if p >= 0 else -1)
             edge.append(e)
             own.append(own[p] + 1 if p >= 0 else 0)
@@ -322,7 +383,10 @@ def _infer_batches(model: Model, want: str, block: int = 512):
                     for t, lines, m in zip(texts, pages, got):
                         gone = {x.no for x, r in zip(lines, m) if r[MAIN] < 0.5}
                         out.append(None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone).strip("\n"))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], ["k", "body"])
+                    # 128 bits for the key and whole text, which tell deliveries of one record
+                    ids = [xxhash.xxh128_intdigest(repr((k, t))) for k, t in zip(part.column(0).to_pylist(), texts)]
+                    halves = [pa.array([(x >> at & 2**64 - 1) - 2**63 for x in ids], pa.int64()) for at in (0, 64)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), *halves], ["k", "body", "r1", "r2"])
                 else:
                     rows = [(i, x.no, KINDS[1 + int(r[1:].argmax())]) for i, (lines, m) in enumerate(zip(pages, got)) for x, r in zip(lines, m) if r[MAIN] < 0.5]
                     at, no, kind = zip(*rows) if rows else ((), (), ())
@@ -343,15 +407,16 @@ def fit(df: DataFrame, *, text: str = "text", key: str = "chunk_id", most: int =
 def furniture_lines(df: DataFrame, *, text: str = "text", key: str = "chunk_id", model: Model | None = None) -> DataFrame:
     """(key, line_no, kind) of the distinct non-blank lines that are not main body.
 
-    Null and blank texts give nothing. Records delivered again come once. Each text is its own tree, whatever its length; other columns are ignored.
+    Null and blank texts give nothing. Records delivered again come once; a key with several texts gives the lines of each. Each text is its own tree, whatever its length; other columns are ignored.
     """
     m = model or fit(df, text=text, key=key)
-    own = df.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).where("t is not null").dropDuplicates(["k", "t"])
-    return own.mapInArrow(_infer_batches(m, "lines"), "k string, line_no int, kind string").withColumnRenamed("k", key)
+    own = df.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
+    return own.mapInArrow(_infer_batches(m, "lines"), "k string, line_no int, kind string").distinct().withColumnRenamed("k", key)
 
 
 def main_body(df: DataFrame, *, text: str = "text", key: str = "chunk_id", model: Model | None = None) -> DataFrame:
-    """(key, body): each record's text with only its main body; null texts stay null, all furniture gives an empty body."""
+    """(key, body): of each distinct key and text, the text with only its main body; null texts stay null, all furniture gives an empty body."""
     m = model or fit(df, text=text, key=key)
     own = df.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"))
-    return own.mapInArrow(_infer_batches(m, "body"), "k string, body string").withColumnRenamed("k", key)
+    got = own.mapInArrow(_infer_batches(m, "body"), "k string, body string, r1 bigint, r2 bigint")
+    return got.dropDuplicates(["r1", "r2"]).select(F.col("k").alias(key), "body")
