@@ -13,8 +13,8 @@
 4. Join on keys, keep pairs whose sketches agree, and verify the rest exactly on the whole texts.
 
 Exact copies (equal word sequences) are one class before any key is made, so a group of copies, however
-large, costs one row for each copy. Keys of a class are 16 bytes of hash and two longs of sketch; texts are
-read again only for classes in candidate pairs. One segment, with two minimum
+large, costs one row for each copy. Of each segment one hash is counted first; keys are made only where another class has the same, as
+16 bytes of hash and two longs of sketch. Texts are read again only for classes in candidate pairs. One segment, with two minimum
 hashes in its key, finds 0.33 to 0.36 of the pairs at a similarity of 0.6 where single words differ, but 0.15 where all that
 differs is a block of new words (a word overlap of 0.6; simulated), so all 28 miss less than 0.01 % and 1 % of those. There is no exact way for the rest. A larger corpus keeps its keys
 selective by a greater ``exact``, which needs more ``segments`` for the same recall.
@@ -43,8 +43,8 @@ SEGMENTS, EXACT = 28, 2
 BITS = 23
 #: Minimum hashes in the sketch, of one bit each: two longs.
 SKETCH = 128
-#: Candidate ids up to this number (8 bytes each) are broadcast to fetch their texts; beyond it they are joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: A table of up to so many bytes (as counted) is broadcast; a larger one is joined by a shuffle.
+MOST_BROADCAST = 16_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 #: The code's generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -199,14 +199,25 @@ def _syndrome_of(v: Column) -> Column:
     return out
 
 
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """``df`` marked for broadcast if ``size``, its bytes a row, adds up to at most MOST_BROADCAST."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= MOST_BROADCAST else df
+
+
 def keys_of(classes: DataFrame, spark: SparkSession) -> DataFrame:
-    """(key, cls, s0, s1): the keys of each class, decoded by a join with the fixed table of syndromes."""
+    """(key, cls, s0, s1): the keys of each class that can meet another, decoded by a join with the fixed table of syndromes.
+
+    The minimum hashes of a segment are part of all its keys, so segments whose minimum hashes no other class has are left out before they are
+    decoded: one hash for each segment is counted, and only the segments left are given their one or six keys.
+    """
     table = spark.createDataFrame([(s, e) for s, e in decoding_table().items()], "syn int, errors array<int>")
     seg = classes.select("cls", "s0", "s1", F.posexplode(F.arrays_zip("segs", "own")).alias("i", "z")).select(
-        "cls", "s0", "s1", "i", F.col("z.segs").alias("seg"), F.col("z.own").alias("own"))
-    near = seg.withColumn("syn", _syndrome_of(F.col("seg"))).join(F.broadcast(table), "syn")  # 2048 rows, whatever the data
-    each = near.select("cls", "s0", "s1", "i", "own", "seg", F.explode("errors").alias("e"))
-    return each.select(F.xxhash64("i", F.shiftright(F.col("seg").bitwiseXOR(F.col("e")), 11), "own").alias("key"), "cls", "s0", "s1")
+        F.xxhash64("i", "z.own").alias("at"), "cls", "s0", "s1", F.col("z.segs").alias("seg"))
+    shared = written(seg.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("at"), "shared")
+    met = seg.join(_small(shared, F.lit(16)), "at", "left_semi")
+    near = met.withColumn("syn", _syndrome_of(F.col("seg"))).join(F.broadcast(table), "syn")  # 2048 rows, whatever the data
+    each = near.select("cls", "s0", "s1", "at", "seg", F.explode("errors").alias("e"))
+    return each.select(F.xxhash64("at", F.shiftright(F.col("seg").bitwiseXOR(F.col("e")), 11)).alias("key"), "cls", "s0", "s1")
 
 
 def _most_unlike(threshold: float) -> int:
@@ -251,9 +262,8 @@ def links(records: DataFrame, *, threshold: float = THRESHOLD, shingle: int = SH
     classes = prints.groupBy("cls").agg(F.min("k").alias("rep"), *first)
     pairs = written(candidate_pairs(keys_of(classes, spark), threshold), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    small = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    wanted = members.join(F.broadcast(ids) if small else ids, "cls").groupBy("cls").agg(F.min("k").alias("k"))
-    texts = records.join(F.broadcast(wanted) if small else wanted, "k").select("cls", "k", "t")
+    wanted = written(members.join(_small(ids, F.lit(16)), "cls").groupBy("cls").agg(F.min("k").alias("k")), "wanted")
+    texts = records.join(_small(wanted, F.length("k") + 24), "k").select("cls", "k", "t")
     # a key may have several texts: take the one of this class
     texts = _of_class(texts, shingle, least_words).groupBy("cls").agg(F.first("t").alias("t"))
     sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("cls"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cls"), F.lit(1).alias("side")))).alias("x"))
