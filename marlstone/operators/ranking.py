@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import words
+from marlstone.session import written
 
 
 def start_words(text: Column, chars: int = 200) -> Column:
@@ -49,8 +50,9 @@ def earlier_near_duplicate(rows: DataFrame, *, key: str, within: str, text: str,
     overlap enough share a word of the first ``n - floor(above n)`` in order of rarity. Null texts and groups match nothing.
     """
     k = rows.select(F.col(key).alias("k"), F.col(within).alias("g"), start_words(F.col(text)).alias("w"))
-    known = k.where("g is not null and w is not null and size(w) > 0").withColumn("c", F.sha1(F.concat_ws("\x1f", F.array_sort("w"))))
-    classes = known.groupBy("g", "c").agg(F.min("k").alias("rep"), F.first("w").alias("w"))
+    k = written(k.withColumn("c", F.when(F.size("w") > 0, F.sha1(F.concat_ws("\x1f", F.array_sort("w"))))), "starts")  # all that follows reads the short beginnings only
+    known = k.where("g is not null and c is not null")
+    classes = written(known.groupBy("g", "c").agg(F.min("k").alias("rep"), F.first("w").alias("w")), "classes")
     each = classes.select("g", "c", F.explode("w").alias("x"))
     rare = each.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
     ordered = each.join(rare, "x").groupBy("g", "c").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))  # the words of one beginning

@@ -89,22 +89,27 @@ def incremental_reuse(spark, folder):
     return p.join(s, "source_url", "full_outer").select("source_url", F.coalesce("chunks", F.lit(0)).alias("chunks"), state.alias("state"))
 
 
-_STEM_TOPIC = "coalesce(nullif(lower(array_to_string(list_filter(string_split(replace(file_stem, '-', '_'), '_'), lambda x: x <> '' and not regexp_full_match(x, '[0-9]+'))[1:4], ' ')), ''), 'general')"
+_STEM_TOPIC = "coalesce(nullif(lower(array_to_string(list_filter(string_split(replace(stem, '-', '_'), '_'), lambda x: x <> '' and not regexp_full_match(x, '[0-9]+'))[1:4], ' ')), ''), 'general')"
 
 
 @register("metadata_merge", f"""
-with m as (select file_stem, max_by(coalesce(topic, ''), doc_id) as topic, max_by(coalesce(authority_score, 0.5), doc_id) as authority, count(*) as documents from documents where file_stem is not null and doc_id % 2 = 0 group by file_stem),
-n as (select file_stem, min({_STEM_TOPIC}) as topic from documents where file_stem is not null and doc_id % 3 = 0 group by file_stem)
-select coalesce(m.file_stem, n.file_stem) as file_stem, coalesce(nullif(m.topic, ''), n.topic) as topic, least(1.0, greatest(0.0, coalesce(m.authority, 0.5))) as authority,
-  case when m.file_stem is null then 'added' when n.file_stem is null then 'kept' else 'updated' end as state from m full join n on m.file_stem = n.file_stem""")
+with v as (select doc_id, coalesce(topic, '') as topic, authority_score, epoch_us(created_at)::varchar || chunk_id as o from validex_knowledge where doc_id is not null),
+m as (select doc_id, max_by(topic, o) as topic, max_by(coalesce(authority_score, 0.5), o) as authority from v group by doc_id),
+u as (select doc_id, regexp_extract(source_url, '([^/?#]+)/*$', 1) as stem from au_blog_chunks where doc_id is not null and source_url is not null),
+n as (select doc_id, min({_STEM_TOPIC}) as topic from u group by doc_id)
+select coalesce(m.doc_id, n.doc_id) as doc_id, coalesce(nullif(m.topic, ''), n.topic, 'general') as topic, least(1.0, greatest(0.0, coalesce(m.authority, 0.5))) as authority,
+  case when m.doc_id is null then 'added' when n.doc_id is null then 'kept' else 'updated' end as state from m full join n on m.doc_id = n.doc_id""")
 def metadata_merge(spark, folder):
-    """Stored metadata (here of the even documents; the last of a stem wins) merged with what the file names of a delivery (every third) say."""
-    d = read_table(spark, folder, "documents").where("file_stem is not null")
-    m = d.where("doc_id % 2 = 0").groupBy("file_stem").agg(F.max_by(F.coalesce("topic", F.lit("")), "doc_id").alias("a"), F.max_by(F.coalesce("authority_score", F.lit(0.5)), "doc_id").alias("authority")).withColumn("old", F.lit(1))
-    n = d.where("doc_id % 3 = 0").groupBy("file_stem").agg(F.min(topic_of_stem(F.col("file_stem"))).alias("b")).withColumn("new", F.lit(1))
-    j = m.join(n, "file_stem", "full_outer")
+    """Stored metadata of all documents (the last chunk ingested wins) merged with what the page names of a delivery say, both tables whole."""
+    v = read_table(spark, folder, "validex_knowledge").where("doc_id is not null")
+    o = F.concat(F.unix_micros("created_at").cast("string"), F.col("chunk_id"))
+    m = v.groupBy("doc_id").agg(F.max_by(F.coalesce("topic", F.lit("")), o).alias("a"), F.max_by(F.coalesce("authority_score", F.lit(0.5)), o).alias("authority"), F.lit(1).alias("old"))
+    u = read_table(spark, folder, "au_blog_chunks").where("doc_id is not null and source_url is not null")
+    n = u.groupBy("doc_id").agg(F.min(topic_of_stem(F.regexp_extract("source_url", "([^/?#]+)/*$", 1))).alias("b"), F.lit(1).alias("new"))
+    j = m.join(n, "doc_id", "full_outer")
     state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "kept").otherwise("updated")
-    return j.select("file_stem", F.coalesce(F.when(F.col("a") != "", F.col("a")), F.col("b")).alias("topic"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("authority", F.lit(0.5)))).alias("authority"), state.alias("state"))
+    topic = F.coalesce(F.when(F.col("a") != "", F.col("a")), F.col("b"), F.lit("general"))
+    return j.select("doc_id", topic.alias("topic"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("authority", F.lit(0.5)))).alias("authority"), state.alias("state"))
 
 
 @register("session_upsert", """

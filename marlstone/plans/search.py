@@ -103,17 +103,18 @@ _KNOW = S.latest("validex_knowledge", "chunk_id", "created_at desc, chunk_hash")
 
 
 @register("vector_blend", f"""
-with k as (select * from {_KNOW}), e as (select * from k where approved and coalesce(embedding_provider, 'unknown') <> 'fake' and embedding is not null), q as (select * from k where md5(chunk_id) like '00%' and embedding is not null),
+with k as (select * from {_KNOW}), e as (select * from k where approved and coalesce(embedding_provider, 'unknown') <> 'fake' and embedding is not null), q as (select * from k where ('0x' || substr(md5(chunk_id), 1, 8))::bigint % 100 = 0 and embedding is not null),
 s as (select q.chunk_id as query_id, e.chunk_id as id, {_COS.format(a='q', b='e')} as similarity, coalesce(e.authority_score, 0) as authority from q, e),
 r as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from s)
 select query_id, id, rank, similarity, cast(round(100 * least(1.0, greatest(0.0, similarity + 0.08 * authority)), 0) as bigint) as score from r where rank <= 8 and similarity >= 0.15""")
 def vector_blend(spark, folder):
-    """The nearest approved chunks with genuine embeddings, in order of distance, with a score blended with authority."""
+    """The nearest approved chunks with genuine embeddings, in order of distance, with a score blended with authority. Queries: every
+    chunk whose id, by its hash, is divisible by 100, against all rows."""
     ship_package(spark)
     cols = ["chunk_id", "embedding", "authority_score", "approved", "embedding_provider"]
     know = latest(read_table(spark, folder, "validex_knowledge"), "chunk_id", F.struct("created_at"), cols)
     rows = know.where("approved and coalesce(embedding_provider, 'unknown') <> 'fake'")
-    near = vectors.nearest(rows, know.where(F.md5("chunk_id").startswith("00")), key="chunk_id", vector="embedding", k=8).where("similarity >= 0.15")
+    near = vectors.nearest(rows, know.where(F.conv(F.substring(F.md5("chunk_id"), 1, 8), 16, 10).cast("bigint") % 100 == 0), key="chunk_id", vector="embedding", k=8).where("similarity >= 0.15")
     met = near.join(rows.select(F.col("chunk_id").alias("id"), F.coalesce("authority_score", F.lit(0.0)).alias("a")), "id")
     blended = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("similarity") + 0.08 * F.col("a")))
     return met.select("query_id", "id", "rank", "similarity", F.round(100 * blended).cast("bigint").alias("score"))

@@ -48,12 +48,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a session on one machine (tests) gets a temporary one; on a
+    cluster that is an error, since every executor would write to a folder of its own."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    to = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marlstone-checkpoint")
+    to = spark.conf.get("spark.checkpoint.dir", None)
+    if not to:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        to = os.path.join(tempfile.gettempdir(), "marlstone-checkpoint")
     sc.setCheckpointDir(to)
     return to
 
