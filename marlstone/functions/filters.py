@@ -80,6 +80,12 @@ def as_evidence(snippet: Column) -> Column:
     return strip(F.regexp_replace(strip(x), r"\.\.\.$", "."))
 
 
+def injections(text: Column) -> Column:
+    """The numbers of the patterns of injected instructions that the text matches."""
+    each = [F.when(text.rlike("(?im)" + p.replace(r"\s", "[ \t\r\n]")), F.lit(i)) for i, p in enumerate(INJECTIONS)]
+    return F.array_compact(F.array(*each))
+
+
 def guarded_prompt(text: Column) -> Column:
     """struct(valid, cleaned, reason, removed): control characters and long blank runs removed, then checked for attempts to inject instructions."""
     control = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"

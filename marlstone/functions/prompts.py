@@ -140,6 +140,27 @@ def topic_of_name(name: Column, intent_: Column) -> Column:
     return F.when(t != "", t).when(intent_.isin("rewrite", "shorten"), "current draft").otherwise("general topic")
 
 
+def tone_of_name(name: Column) -> Column:
+    return F.coalesce(_filled(F.regexp_replace(F.lower(one_line(F.coalesce(name, F.lit("")))), " ", "_")), F.lit(DEFAULTS["tone"]))
+
+
+def audience_of_name(name: Column) -> Column:
+    return F.coalesce(_filled(F.lower(one_line(F.coalesce(name, F.lit(""))))), F.lit(DEFAULTS["audience"]))
+
+
+def length_of_name(name: Column) -> Column:
+    n = F.lower(one_line(F.coalesce(name, F.lit(""))))
+    return F.when(n.isin("short", "medium", "long"), n).otherwise(DEFAULTS["length"])
+
+
+#: How a prompt counts pictures.
+PICTURE_COUNT = "([0-9]+)[\t-\r ]*(?:images?|ảnh|anh|hình|hinh|pictures?|photos?)"
+
+
+def picture_count(prompt: Column) -> Column:
+    return _filled(F.regexp_extract(F.lower(prompt), PICTURE_COUNT, 1)).try_cast("bigint")
+
+
 def prefers_steps(prompt: Column) -> Column:
     p = F.lower(one_line(prompt))
     return ~p.rlike(NO_STEPS) & p.rlike(STEPS)

@@ -229,6 +229,13 @@ def vector_literal(v: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
 
 
+def intro(draft: Column) -> Column:
+    """On one line, what stands between the title and the first section; empty without a title."""
+    title = F.regexp_extract(draft, r"(?:^|\n)# [^\n]*\n", 0)
+    rest = F.substring(draft, F.instr(draft, title) + F.length(title), F.length(draft))
+    return one_line(F.when(title == "", "").otherwise(F.split_part(F.concat(F.lit("\n"), rest), F.lit("\n## "), F.lit(1))))
+
+
 def html_text(html: Column) -> Column:
     """Visible text of markup by regular expressions: scripts, styles and page furniture elements go."""
     x = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
