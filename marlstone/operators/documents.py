@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import html_escaped, meta_description, one_line, strip, without_markdown
+from marlstone.functions.text import bound, html_escaped, meta_description, one_line, strip, title_case, without_markdown
 
 # The texts that mark sources, missing data and the closing section.
 MISSING = "No internal data was found for this section."
@@ -14,6 +14,43 @@ CONCLUSION = "## Conclusion and Strategic Next Steps"
 CLOSINGS = "Conclusion|Summary|Final Thoughts|Next Steps|Strategic Next Steps|Conclusion and Next Steps|Concluding Remarks|Key Takeaways"
 
 
+# How a question begins, and what tells topics of screening from others.
+QUESTION = "(?i)^(?:(?:how|what|why|when) (?:is|are|does|do)|how (?:can|to)|does|do|can|is|are) "
+SCREENING = "police check|background check|criminal record|identity verification|spent conviction|acic|npc|compliance|vetting|screening|criminal history|disclosure|working with children|wwcc"
+#: Our own headings, ``%`` standing for the topic: of topics of screening, of others, and one more for long articles.
+FRAME_SCREENING = ["What % Covers", "How % Is Decided", "Records and Data Behind It", "Rules That Apply", "What It Means in Practice"]
+FRAME_GENERAL = ["What % Is", "How It Works", "Where It Is in Use", "Risks and Safeguards", "What Comes Next"]
+EXTRA = "Common Questions"
+
+
+def outline(topic: Column, length: Column) -> Column:
+    """The headings of an article on a topic: of one of two frames, with one more where it is to be long, and the closing one."""
+    short = bound(title_case(topic), lambda t: F.array_join(F.slice(F.split(t, " "), 1, 8), " "))
+    named = bound(short, lambda s: F.when(s.rlike(QUESTION), title_case(F.regexp_replace(s, QUESTION, ""))).otherwise(s))
+    lists = [F.array(*map(F.lit, x)) for x in (FRAME_SCREENING, FRAME_GENERAL)]
+    frame = F.when(F.lower(topic).rlike(SCREENING), lists[0]).otherwise(lists[1])
+    more = F.when(length == "long", F.array(F.lit(EXTRA))).otherwise(F.array().cast("array<string>"))
+    return bound(named, lambda n: F.concat(F.transform(frame, lambda x: F.replace(x, F.lit("%"), n)), more, F.array(F.lit(CONCLUSION[3:]))))
+
+
+def drafted_sections(headings: Column, facts: Column, topic: Column) -> Column:
+    """A section for each filled heading (what follows a colon in it), holding the fact of the same place or saying that data is missing."""
+    def one(h: Column, i: Column) -> Column:
+        own = strip(F.regexp_replace(h, "^[^:]*:", ""))
+        fact = F.coalesce(F.get(facts, i), F.lit(MISSING))
+        return F.struct(own.alias("heading"), F.concat(F.lit("On "), one_line(topic), F.lit(": "), fact).alias("body"))
+
+    return F.filter(F.transform(headings, one), lambda s: s["heading"] != "")
+
+
+def with_hero(draft: Column, alt: Column, url: Column) -> Column:
+    """The draft with one picture after its title, unless it has a picture or no title."""
+    head = F.regexp_extract(draft, r"(?:^|\n)[ \t]*# [^\n]+", 0)
+    end = F.instr(draft, head) + F.length(head) - 1
+    placed = F.concat(F.substring(draft, F.lit(1), end), F.lit("\n\n!["), alt, F.lit("]("), url, F.lit(")\n"), F.substring(draft, end + 1, F.length(draft)))
+    return F.when((head == "") | draft.rlike(r"!\[[^\]]*\]\(https?://"), draft).otherwise(placed)
+
+
 def markdown(title: Column, sections: Column) -> Column:
     """A markdown article of sections array<struct<heading, body>>."""
     body = F.transform(sections, lambda s: F.concat(F.lit("## "), s["heading"], F.lit("\n\n"), strip(s["body"])))
