@@ -31,7 +31,7 @@ def resolved(base: Column, link: Column) -> Column:
         own, tail = F.regexp_replace(x, "[?#].*$", ""), F.regexp_extract(x, "[?#].*$", 0)
         return (
             F.when(x == "", base).when(x.rlike(_SCHEME), x).when(x.startswith("//"), F.concat(F.regexp_extract(base, _SCHEME, 0), x))
-            .when(x.startswith("/"), F.concat(site, _without_dots(own), tail)).when(x.startswith("#") | x.startswith("?"), F.concat(page, x))
+            .when(x.startswith("/"), F.concat(site, _without_dots(own), tail)).when(x.startswith("#"), F.regexp_replace(base, "#.*$", "")).when(x.startswith("?"), F.concat(page, x))
             .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), tail))
         )
 

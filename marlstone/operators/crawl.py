@@ -51,3 +51,9 @@ def within_limit(found: DataFrame, order: str, score: str, least: float, most: i
     """Rows with a score of ``least`` or more, in order, until ``most`` are approved; the best are picked before they meet."""
     ok = found.where(F.col(score) >= least).orderBy(order).limit(most)
     return ok.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)).cast("bigint"))  # at most ``most`` rows
+
+
+def ended(pages: DataFrame, crawl: str, order: str, chunks: str, goal: int) -> DataFrame:
+    """The pages that a crawl tries before it ends: those before which fewer than ``goal`` chunks were found. A crawl's pages are bounded by its own limits."""
+    before = F.coalesce(F.sum(chunks).over(W.partitionBy(crawl).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return pages.withColumn("_before", before).where(F.col("_before") < goal).drop("_before")

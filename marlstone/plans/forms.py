@@ -28,7 +28,7 @@ _SITE = "regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
 _FOLDER = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(b, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[^/]*$', ''), ''), '/')"
 _JOINED = {
     "/faq": f"{_SITE} || '/faq'", "../guides/b.html#top": f"{_SITE} || regexp_replace({_FOLDER}, '[^/]+/$', '') || 'guides/b.html'", "c?x=1": f"{_SITE} || {_FOLDER} || 'c?x=1'", "//cdn.example/d/": "regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*:') || '//cdn.example/d'",
-    "#end": "regexp_replace(regexp_replace(b, '[?#].*$', ''), '/+$', '')", "./e/../f": f"{_SITE} || {_FOLDER} || 'f'", "https://other.example/g/": "'https://other.example/g'", "": "regexp_replace(regexp_replace(b, '#.*$', ''), '/+$', '')",
+    "#end": "regexp_replace(regexp_replace(b, '#.*$', ''), '/+$', '')", "./e/../f": f"{_SITE} || {_FOLDER} || 'f'", "https://other.example/g/": "'https://other.example/g'", "": "regexp_replace(regexp_replace(b, '#.*$', ''), '/+$', '')",
 }
 
 

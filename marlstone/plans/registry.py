@@ -33,7 +33,7 @@ def _load() -> None:
 
 
 #: Modules whose queries are registered when they are imported.
-MODULES = ["corpus", "prompts", "search", "analytics", "changes", "requests", "publishing", "evaluation", "forms", "assembly"]
+MODULES = ["corpus", "prompts", "search", "analytics", "changes", "requests", "publishing", "evaluation", "forms", "assembly", "pages"]
 
 
 def queries() -> dict[str, Query]:

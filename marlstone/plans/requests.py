@@ -51,7 +51,15 @@ def _timed(spark, folder):
     return _events(spark, folder).withColumn("t", F.unix_micros("ts") / F.lit(1e6))
 
 
-@register("rate_sliding_log")
+_ORDERED = "select event_id, user_id, epoch_us(ts) / 1e6 as t, event_type, row_number() over (partition by user_id order by ts, event_id) as n from events"
+
+
+@register("rate_sliding_log", f"""
+with recursive e as materialized ({_ORDERED}), r as (
+  select event_id, user_id, n, [t] as log, true as accepted from e where n = 1
+  union all select event_id, user_id, n, case when len(kept) < 3 then list_append(kept, t) else kept end, len(kept) < 3 from (
+    select e.event_id, e.user_id, e.n, e.t, list_filter(r.log, lambda x: e.t - x <= 7200) as kept from r join e on e.user_id = r.user_id and e.n = r.n + 1))
+select event_id, user_id, accepted from r""")
 def rate_sliding_log(spark, folder):
     """Whether each request passes a limiter that logs accepted requests only (here 3 in two hours)."""
     e = _timed(spark, folder).select("event_id", "user_id", "t")
@@ -65,7 +73,14 @@ def cache_trace(spark, folder):
     return O.folded(e, "shard", ["t", "event_id"], O.lru_cache_trace(10, 86_400.0)[1], "event_id bigint, shard bigint, hit boolean, entries bigint", dict)
 
 
-@register("circuit_breaker")
+@register("circuit_breaker", f"""
+with recursive e as materialized (select *, event_type = 'error' as failed from ({_ORDERED})), r as (
+  select event_id, user_id, n, failed::bigint as failures, null::double as until, false as open from e where n = 1
+  union all select event_id, user_id, n, f, case when not o and f >= 2 then t + 86400 else u end, o from (
+    select *, case when o then f0 when failed then f0 + 1 else 0 end as f from (
+      select event_id, user_id, n, t, failed, case when over then 0 else failures end as f0, case when over then null else until end as u, until is not null and not over as o from (
+        select e.event_id, e.user_id, e.n, e.t, e.failed, r.failures, r.until, coalesce(e.t >= r.until, false) as over from r join e on e.user_id = r.user_id and e.n = r.n + 1))))
+select event_id, user_id, open, failures::bigint as failures from r""")
 def circuit_breaker(spark, folder):
     """Which requests of each client meet an open breaker: two failures in a row open it for a day."""
     e = _timed(spark, folder).select("event_id", "user_id", "t", (F.col("event_type") == "error").alias("failed"))
