@@ -133,6 +133,18 @@ def guarded(docs: DataFrame, queries: list[Query], least_score: int = 3, least_c
     return all_.select("query", status.alias("status"), F.when(scored_at_all, confidence).otherwise(0.0).alias("confidence"), F.when(scored_at_all, F.col("first")).otherwise(0).cast("bigint").alias("top_score"))
 
 
+def routed(docs: DataFrame, queries: list[Query], wanted: int, *, rerank=None, fetched: int = 3, most: int = 20) -> DataFrame:
+    """(query, route, doc_id, rank): results of each query that is sure of them, `web` without any for the others.
+
+    ``wanted`` is held within 1 and ``most``; so many times ``fetched`` are fetched, ``rerank`` (a transform of query, doc_id, score, rank) may set their ranks anew, and the first are kept.
+    """
+    k = max(1, min(wanted, most))
+    found = top_k(scored(docs, queries), k * fetched)
+    first = (rerank(found) if rerank else found).where(F.col("rank") <= k).select("query", F.lit("internal").alias("route"), "doc_id", "rank")
+    route = guarded(docs, queries).select("query", F.when(F.col("status") == "ok", "internal").otherwise("web").alias("route"))
+    return route.join(first, ["query", "route"], "left")
+
+
 #: Parts that each group of ``packed`` is cut into.
 PARTS = 64
 

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import random
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,6 +9,7 @@ from marlstone.functions import links as L
 from marlstone.functions import text as T
 from marlstone.operators import documents as D
 from marlstone.operators import retrieval as V
+from marlstone.operators import seams as M
 from marlstone.operators.changes import latest
 from marlstone.plans import sql as S
 from marlstone.plans.changes import incremental_reuse
@@ -312,24 +308,114 @@ def drafts_of_topics(spark, folder):
     return d.select("topic", "sources", sections.alias("sections"), D.markdown(T.title_case(F.col("topic")), sections).alias("draft"))
 
 
-#: Numbers of a made-up embedding.
-FAKE_SIZE = 16
+@register("fake_embeddings")
+def fake_embeddings(spark, folder):
+    """Stand-ins for the embeddings of all chunks where no model is at hand."""
+    ship_package(spark)
+    k = latest(read_table(spark, folder, "validex_knowledge"), "chunk_id", F.struct("created_at"), ["chunk_id", "content"])
+    return M.embedded(k.select("chunk_id", "content"), "content", allow_fake=True, out="embedding").select("chunk_id", "embedding", "provider")
 
 
-def fake_embedding(text: str, size: int = FAKE_SIZE) -> list[float]:
-    """Numbers within -1 and 1 drawn from a generator that the text's hash seeds: equal texts get equal vectors."""
-    draw = random.Random(int(hashlib.sha1(text.encode()).hexdigest()[:16], 16))
-    return [draw.uniform(-1.0, 1.0) for _ in range(size)]
+# --- without models and services
 
 
-def _fake_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fake_embedding(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["chunk_id", "embedding"])
+@register("unassisted_steps", """
+select distinct chunk_id, 10.0::double as score, true as kept, 0.0::double as relevance, coalesce(topic, '') as queries, substr(coalesce(content, ''), 1, 500) as summary, 0::bigint as plan, 'ACCEPT' as verdict, 7::bigint as points from validex_knowledge""")
+def unassisted_steps(spark, folder):
+    """What every step that a model could take says without one."""
+    k = read_table(spark, folder, "validex_knowledge").select("chunk_id", "topic", "content").distinct()
+    own = M.unassisted(F.col("topic"), F.col("content"))
+    own = {**own, "queries": F.coalesce(F.element_at(own["queries"], 1), F.lit("")), "plan": F.size(own["plan"]).cast("bigint")}
+    return M.judged(k, "content").withColumns(own).drop("topic", "content").distinct()
 
 
-@register("fake_embeddings")
-def fake_embeddings(spark, folder):
-    """Stand-ins for the embeddings of all chunks where no model is at hand."""
-    ship_package(spark)
-    k = latest(read_table(spark, folder, "validex_knowledge"), "chunk_id", F.struct("created_at"), ["chunk_id", "content"])
-    return k.select("chunk_id", "content").mapInArrow(_fake_batches, "chunk_id string, embedding array<double>")
+@register("shown_sources", f"""
+with r as (select topic, n, n || '. ' || coalesce(title, 'untitled') || ' (' || coalesce(source_url, 'n/a') || '): ' || substr({S.one_line('content')}, 1, 160) as x from {_BEST} where n <= 3)
+select topic, string_agg(x, chr(10) order by n) as text from r group by topic""")
+def shown_sources(spark, folder):
+    """Each topic's three best chunks as lines for a reader."""
+    return M.shown_results(_best(spark, folder, 3).withColumn("snippet", F.col("content")).withColumnRenamed("source_url", "url"), "topic", "n")
+
+
+@register("quality_estimates", """
+with r as (select id, passed, row_number() over (partition by id order by run_at, word_count) as revision from (select distinct id, passed, run_at, word_count from resilience_report))
+select id, revision, case when not coalesce(passed, false) then 4 else greatest(5, 10 - 2 * (revision - 1)) end::bigint as points from r""")
+def quality_estimates(spark, folder):
+    """Points of each run: few for one that failed, less with each further run of the same test."""
+    r = read_table(spark, folder, "resilience_report").select("id", "passed", "run_at", "word_count").distinct()
+    n = F.row_number().over(W.partitionBy("id").orderBy(F.col("run_at").asc_nulls_last(), F.col("word_count").asc_nulls_last()))
+    r = r.withColumn("revision", n.cast("bigint"))
+    return r.select("id", "revision", F.when(~F.coalesce("passed", F.lit(False)), F.lit(4)).otherwise(F.greatest(F.lit(5), 10 - 2 * (F.col("revision") - 1))).cast("bigint").alias("points"))
+
+
+#: Results of a request, and how many are fetched to choose them from.
+WANTED, FETCHED, MOST_WANTED = 4, 3, 20
+
+
+@register("routed_results", f"""
+with {SCORED}, {_DOMAIN}, {_STATUS}, z as (select query, doc_id, score, rank from k where rank <= {WANTED * FETCHED})
+select j.query, case when status = 'ok' then 'internal' else 'web' end as route, z.doc_id, z.rank from j left join z on z.query = j.query and j.status = 'ok' and z.rank <= {WANTED}""")
+def routed_results(spark, folder):
+    """Where each query is answered: from the documents, of which more are fetched than wanted and the first kept where nothing reranks them, or from the web, which is empty without an engine."""
+    return V.routed(_docs(spark, folder), QUERIES, WANTED)
+
+
+@register("turn_records", """
+select distinct session_id, turn_no::bigint as turn_no, t.user_prompt as prompt, t.parsed_topic as topic, substr(t.generated_draft, 1, 500) as draft from (select session_id, unnest(turns) as t, unnest(range(0, len(turns))) as turn_no from chat_sessions) where t is not null""")
+def turn_records(spark, folder):
+    """Turns stored as JSON, drafts cut to 500 characters, and read back."""
+    t = read_table(spark, folder, "chat_sessions").select("session_id", F.posexplode("turns").alias("n", "t")).where("t is not null")
+    stored = t.select("session_id", F.col("n").cast("bigint").alias("turn_no"), F.to_json(F.struct(
+        F.col("t.user_prompt").alias("user_prompt"), F.col("t.parsed_topic").alias("parsed_topic"), F.substring("t.generated_draft", 1, 500).alias("generated_draft"))).alias("j"))
+    back = stored.select("session_id", "turn_no", F.from_json("j", "user_prompt string, parsed_topic string, generated_draft string").alias("t"))
+    return back.select("session_id", "turn_no", F.col("t.user_prompt").alias("prompt"), F.col("t.parsed_topic").alias("topic"), F.col("t.generated_draft").alias("draft")).distinct()
+
+
+#: Answers of a model that should hold one object.
+ANSWERS = [(1, '{"a": 1}'), (2, ' {"a": {"b": 2}} '), (3, 'Here: {"a": 3} - done'), (4, "[1, 2]"), (5, "none"), (6, '{"a": '), (7, "{a} and {b}"), (8, ""), (9, None)]
+
+
+@register("json_blocks", "select n::bigint as n, json_extract_string(x, '$.a') as a from (values (1, '{\"a\": 1}'), (2, '{\"a\": {\"b\": 2}}'), (3, '{\"a\": 3}'), (4, null), (5, null), (6, null), (7, null), (8, null), (9, null)) as v(n, x)")
+def json_blocks(spark, folder):
+    """The object in an answer: the whole answer, else from its first to its last brace; null where that is none."""
+    d = spark.createDataFrame(ANSWERS, "n bigint, answer string")
+    inner = F.regexp_extract("answer", r"(?s)\{.*\}", 0)
+    return d.select("n", F.get_json_object(inner, "$.a").alias("a"))
+
+
+#: Lines of a console for one result, and messages of a refresh.
+@register("console_blocks", f"""
+select id, array_to_string(['TITLE', title, '', 'SECTIONS', case when len(secs) = 0 then '-' else array_to_string(list_transform(secs, lambda s: '- ' || s.h), chr(10)) end, '', 'WORDS', cast(len({S.words('draft')}) as varchar)], chr(10)) as console from {_BASE}""")
+def console_blocks(spark, folder):
+    """A draft as labelled blocks for a console."""
+    d = _sectioned(spark, folder)
+    heads = F.when(F.size("sections") == 0, "-").otherwise(F.array_join(F.transform("sections", lambda s: F.concat(F.lit("- "), s["heading"])), "\n"))
+    blocks = F.array(F.lit("TITLE"), F.col("title"), F.lit(""), F.lit("SECTIONS"), heads, F.lit(""), F.lit("WORDS"), F.size(T.words(F.col("draft"))).cast("string"))
+    return d.select("id", F.array_join(blocks, "\n").alias("console"))
+
+
+@register("dimension_messages", f"""
+select len(embedding) as dimensions, count(*) as chunks, 'stored vectors have ' || len(embedding) || ' numbers, the model makes {M.FAKE_SIZE}' as message, len(embedding) <> {M.FAKE_SIZE} as mismatch from {_KNOWN} where embedding is not null group by 1""")
+def dimension_messages(spark, folder):
+    """Whether stored vectors fit those of a model."""
+    k = latest(read_table(spark, folder, "validex_knowledge"), "chunk_id", F.struct("created_at"), ["chunk_id", "embedding"]).where("embedding is not null")
+    n = k.groupBy(F.size("embedding").cast("bigint").alias("dimensions")).agg(F.count(F.lit(1)).alias("chunks"))
+    return n.select("dimensions", "chunks", F.format_string(f"stored vectors have %d numbers, the model makes {M.FAKE_SIZE}", "dimensions").alias("message"), (F.col("dimensions") != M.FAKE_SIZE).alias("mismatch"))
+
+
+#: Requests shown as a start: so many, chosen anew by each seed.
+SHOWN, SEED = 3, 11
+
+
+@register("sample_prompts", f"select prompt from (select distinct user_prompt as prompt from (select unnest(turns).user_prompt as user_prompt from chat_sessions) where user_prompt is not null) order by md5('{SEED}' || prompt), prompt limit {SHOWN}")
+def sample_prompts(spark, folder):
+    """A few of all prompts, in an order that a seed gives."""
+    p = read_table(spark, folder, "chat_sessions").select(F.explode("turns").alias("t")).select(F.col("t.user_prompt").alias("prompt")).where("prompt is not null").distinct()
+    return p.orderBy(F.md5(F.concat(F.lit(str(SEED)), "prompt")), "prompt").limit(SHOWN)
+
+
+#: Settings of an engine's parts, as a health check shows them.
+@register("runtime_flags", "select * from (values ('embedding_model', false), ('lexical_retrieval', true), ('reranker', false), ('template_writer', true), ('web_search', false)) as v(part, available)")
+def runtime_flags(spark, folder):
+    """Which parts answer without anything plugged in."""
+    return spark.createDataFrame([("embedding_model", False), ("lexical_retrieval", True), ("reranker", False), ("template_writer", True), ("web_search", False)], "part string, available boolean")

@@ -11,8 +11,7 @@ from marlstone.functions import links as L
 from marlstone.functions import prompts as R
 from marlstone.functions import text as T
 from marlstone.operators import documents as D
-from marlstone.operators import ranking
-from marlstone.plans import assembly
+from marlstone.operators import ranking, seams
 from marlstone.plans.registry import queries
 
 
@@ -77,7 +76,7 @@ def test_stand_in_embeddings(spark, data):
     text = {r.chunk_id: r.content for r in spark.read.parquet(f"{data}/validex_knowledge.parquet").collect()}
     for k, v in list(rows.items())[:20]:
         draw = random.Random(int(hashlib.sha1((text[k] or "").encode()).hexdigest()[:16], 16))
-        assert v == [draw.uniform(-1.0, 1.0) for _ in range(assembly.FAKE_SIZE)]
+        assert v == [draw.uniform(-1.0, 1.0) for _ in range(seams.FAKE_SIZE)]
 
 
 def test_drafts_of_topics(spark, data):
@@ -111,3 +110,34 @@ def test_clusters_need_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_plugs(spark):
+    df = spark.createDataFrame([(1, "ab", 1), (2, None, 2), (3, "abc", 3)], "k int, text string, score int")
+    got = {r.k: (r.n, r.score) for r in seams.plugged(df, F.col("text"), lambda xs: [len(x) for x in xs], "bigint", "n").collect()}
+    assert got == {1: (2, 1), 2: (0, 2), 3: (3, 3)}
+    assert {(r.k, r.kept) for r in seams.judged(df.drop("score"), "text", lambda xs: [float(3 * len(x)) for x in xs]).collect()} == {(1, True), (2, False), (3, True)}
+    assert {r.provider for r in seams.embedded(df, "text").collect()} == {None} and seams.embedded(df.where("false"), "text", allow_fake=True).count() == 0
+    d = spark.createDataFrame([("a", [1.0, 2.0]), ("bb", [3.0, 4.0])], "t string, v array<double>")
+    new = {r.t: (r.v, r.status) for r in seams.refreshed(d, "t", "v", 2, lambda xs: [[0.5] * (1 + len(x)) for x in xs]).collect()}
+    assert new == {"a": ([0.5, 0.5], "ok"), "bb": ([3.0, 4.0], "dimension_mismatch")}
+    assert {r.status for r in seams.refreshed(d, "t", "v", 2, None).collect()} == {"skipped"}
+
+
+def test_search_and_writers(spark):
+    q = spark.createDataFrame([("x",), ("y",)], "query string")
+    assert seams.searched(spark, q).count() == 0
+    found = seams.searched(spark, q, lambda qs: [[(f"t{i}", None, f"s  {i}") for i in range(5)] if s == "x" else [] for s in qs])
+    shown = seams.shown_results(found, "query", "title").collect()
+    assert [(r.query, r.text) for r in shown] == [("x", "1. t0 (n/a): s 0\n2. t1 (n/a): s 1\n3. t2 (n/a): s 2")]
+    writers = [("agent", lambda xs: [None for _ in xs]), ("direct", lambda xs: ["d" if x == "x" else "" for x in xs])]
+    got = {r["query"]: (r.draft, r.path) for r in seams.written_drafts(q, "query", F.lit("own"), writers).collect()}
+    assert got == {"x": ("d", "direct"), "y": ("own", "template")}
+    assert {(r.draft, r.path) for r in seams.written_drafts(q, "query", F.lit("own")).collect()} == {("own", "template")}
+
+
+def test_revision_ends(spark):
+    d = spark.createDataFrame([("a",), ("aaa",), ("aaaaaaaa",)], "draft string")
+    review = lambda x: x.withColumn("feedback", F.when(F.length("draft") > 2, "shorter"))
+    rewrite = lambda x: x.withColumn("draft", F.expr("substr(draft, 2)"))
+    assert {(r.draft, r.revisions) for r in seams.revised(d, review, rewrite).collect()} == {("a", 0), ("aa", 1), ("aaaaa", 3)}
