@@ -123,3 +123,27 @@ def trimmed_images(draft: Column, most: Column) -> Column:
     is_image = lambda x: x.rlike(r"!\[[^\]]*\]\([^)]*\)")
     kept = F.filter(lines, lambda x, i: ~is_image(x) | (F.size(F.filter(F.slice(lines, F.lit(1), i + 1), is_image)) <= most))
     return F.when(most.isNull(), draft).otherwise(F.array_join(kept, "\n"))
+
+
+#: Fixed value: the section that carries an earlier draft, which never keeps a picture.
+CONTEXT = "context from previous draft"
+
+
+def limited_pictures(sections: Column, most: Column) -> Column:
+    """Sections array<struct<heading, body, image_url>> of which the first ``most`` keep their picture, not counting the section of context, which keeps none; null keeps all."""
+    is_context = lambda s: F.lower(one_line(F.coalesce(s["heading"], F.lit("")))) == CONTEXT
+
+    def one(s: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(sections, F.lit(1), i), lambda x: ~is_context(x)))
+        return F.struct(s["heading"].alias("heading"), s["body"].alias("body"), F.when(is_context(s) | (before >= most), "").otherwise(s["image_url"]).alias("image_url"))
+
+    return F.when(most.isNull(), sections).otherwise(F.transform(sections, one))
+
+
+def allowed_images(draft: Column, most: Column, allowed: Column) -> Column:
+    """The draft with only those lines of pictures that show one of the ``allowed`` addresses, the first ``most`` of them; null keeps all."""
+    address = lambda x: F.trim(F.regexp_extract(x, r"^\s*!\[[^\]]*\]\(([^)]+)\)\s*$", 1))
+    lines = F.split(draft, "\n")
+    shows = lambda x: (address(x) != "") & F.array_contains(allowed, address(x))
+    kept = F.filter(lines, lambda x, i: (address(x) == "") | shows(x) & (F.size(F.filter(F.slice(lines, F.lit(1), i), shows)) < most))
+    return F.when(most.isNull(), draft).otherwise(strip(F.array_join(kept, "\n")))

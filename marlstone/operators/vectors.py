@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Query vectors sent to the executors at a time; more queries are answered in several passes.
+from marlstone.session import ensure_checkpoint_dir
+
+#: Query vectors sent to the executors at a time; more queries are answered in several jobs.
 BLOCK = 4096
 
 
@@ -58,21 +61,21 @@ def nearest(rows: DataFrame, queries: DataFrame, *, key: str, vector: str, k: in
     kind = pa.string() if own.schema["id"].dataType.simpleString() == "string" else pa.int64()
     sql = "string" if kind == pa.string() else "bigint"
     qs = queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("v is not null").orderBy("id")
-    out = None
-    block: list = []
+    shape = f"query_id {sql}, id {sql}, similarity double"
 
     def answered(part: list) -> DataFrame:
-        return own.mapInArrow(_partial([r.id for r in part], np.array([r.v for r in part], float), k, kind), f"query_id {sql}, id {sql}, similarity double")
+        return own.mapInArrow(_partial([r.id for r in part], np.array([r.v for r in part], float), k, kind), shape)
 
-    for r in qs.toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            out = answered(block) if out is None else out.unionAll(answered(block))
+    spark, block, to = own.sparkSession, [], None
+    for r in qs.toLocalIterator():  # one block at a time is on the driver
+        if len(block) == BLOCK:  # more blocks than one: each is answered and written by a job of its own, so that no plan grows with the queries
+            to = to or f"{ensure_checkpoint_dir(spark).rstrip('/')}/marlstone-nearest-{uuid.uuid4().hex}"
+            answered(block).write.mode("append").parquet(to)
             block = []
-    if block:
-        out = answered(block) if out is None else out.unionAll(answered(block))
-    if out is None:
-        return own.sparkSession.createDataFrame([], f"query_id {sql}, id {sql}, similarity double, rank bigint")
+        block.append(r)
+    if not block:
+        return spark.createDataFrame([], shape + ", rank bigint")
+    out = answered(block) if to is None else answered(block).unionAll(spark.read.schema(shape).parquet(to))
     w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return out.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 

@@ -11,7 +11,7 @@ from marlstone.functions import links as L
 from marlstone.functions import prompts as R
 from marlstone.functions import text as T
 from marlstone.operators import documents as D
-from marlstone.operators import ranking, seams
+from marlstone.operators import ranking, seams, vectors
 from marlstone.plans.registry import queries
 
 
@@ -141,3 +141,23 @@ def test_revision_ends(spark):
     review = lambda x: x.withColumn("feedback", F.when(F.length("draft") > 2, "shorter"))
     rewrite = lambda x: x.withColumn("draft", F.expr("substr(draft, 2)"))
     assert {(r.draft, r.revisions) for r in seams.revised(d, review, rewrite).collect()} == {("a", 0), ("aa", 1), ("aaaaa", 3)}
+
+
+def test_nearest_in_several_blocks(spark, data, monkeypatch):
+    e = spark.read.parquet(f"{data}/embeddings.parquet")
+    ask = lambda: sorted(map(tuple, vectors.nearest(e, e.where("vec_id % 50 = 0"), key="vec_id", vector="embedding", k=3).collect()))
+    whole = ask()
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    assert ask() == whole and len(whole) == 3 * e.where("vec_id % 50 = 0").count()
+    assert vectors.nearest(e, e.where("false"), key="vec_id", vector="embedding", k=3).count() == 0
+
+
+def test_pictures_of_edits(spark):
+    sec = [("Context  from previous draft", "b", "u0"), ("A", "b", "u1"), ("B", "b", "u2")]
+    draft = "# T\n![a](u0)\n![b](u1)\ntext ![c](u2)\n ![d](u2) \n![e](u1)"
+    rows = [(sec, draft, n) for n in (0, 1, 2, None)]
+    d = spark.createDataFrame(rows, "s array<struct<heading:string,body:string,image_url:string>>, d string, n int")
+    p = d.select("n", "d", D.limited_pictures(F.col("s"), F.col("n")).alias("s"))
+    got = {r.n: ([x.image_url for x in r.s], r.o) for r in p.select("n", "s", D.allowed_images(F.col("d"), F.col("n"), F.transform("s", lambda x: x["image_url"])).alias("o")).collect()}
+    assert got[0] == (["", "", ""], "# T\ntext ![c](u2)") and got[1] == (["", "u1", ""], "# T\n![b](u1)\ntext ![c](u2)")
+    assert got[2] == (["", "u1", "u2"], "# T\n![b](u1)\ntext ![c](u2)\n ![d](u2)") and got[None] == (["u0", "u1", "u2"], draft)
