@@ -13,8 +13,8 @@
 4. Join on keys, keep pairs whose sketches agree, and verify the rest exactly on the whole texts.
 
 Exact copies (equal word sequences) are one class before any key is made, so a group of copies, however
-large, costs one row for each copy. Of each segment one hash is counted first; keys are made only where another class has the same, as
-16 bytes of hash and two longs of sketch. Texts are read again only for classes in candidate pairs. One segment, with two minimum
+large, costs one row for each copy. A segment takes 16 bytes of hash, two longs of sketch and its bits; how many classes have its minimum
+hashes decides whether its codewords are compared after the join or split it before. Texts are read again only for classes in candidate pairs. One segment, with two minimum
 hashes in its key, finds 0.33 to 0.36 of the pairs at a similarity of 0.6 where single words differ, but 0.15 where all that
 differs is a block of new words (a word overlap of 0.6; simulated), so all 28 miss less than 0.01 % and 1 % of those. There is no exact way for the rest. A larger corpus keeps its keys
 selective by a greater ``exact``, which needs more ``segments`` for the same recall.
@@ -30,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.session import written
@@ -44,7 +44,9 @@ BITS = 23
 #: Minimum hashes in the sketch, of one bit each: two longs.
 SKETCH = 128
 #: A table of up to so many bytes (as counted) is broadcast; a larger one is joined by a shuffle.
-MOST_BROADCAST = 16_000_000
+MOST_BROADCAST = 32_000_000
+#: Classes with the same minimum hashes of a segment that are held against each other; more are split by codewords first.
+MANY = 64
 
 _WORD = re.compile(r"[^\W_]+")
 #: The code's generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -204,20 +206,9 @@ def _small(df: DataFrame, size: Column) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= MOST_BROADCAST else df
 
 
-def keys_of(classes: DataFrame, spark: SparkSession) -> DataFrame:
-    """(key, cls, s0, s1): the keys of each class that can meet another, decoded by a join with the fixed table of syndromes.
-
-    The minimum hashes of a segment are part of all its keys, so segments whose minimum hashes no other class has are left out before they are
-    decoded: one hash for each segment is counted, and only the segments left are given their one or six keys.
-    """
-    table = spark.createDataFrame([(s, e) for s, e in decoding_table().items()], "syn int, errors array<int>")
-    seg = classes.select("cls", "s0", "s1", F.posexplode(F.arrays_zip("segs", "own")).alias("i", "z")).select(
-        F.xxhash64("i", "z.own").alias("at"), "cls", "s0", "s1", F.col("z.segs").alias("seg"))
-    shared = written(seg.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("at"), "shared")
-    met = seg.join(_small(shared, F.lit(16)), "at", "left_semi")
-    near = met.withColumn("syn", _syndrome_of(F.col("seg"))).join(F.broadcast(table), "syn")  # 2048 rows, whatever the data
-    each = near.select("cls", "s0", "s1", "at", "seg", F.explode("errors").alias("e"))
-    return each.select(F.xxhash64("at", F.shiftright(F.col("seg").bitwiseXOR(F.col("e")), 11)).alias("key"), "cls", "s0", "s1")
+def _indices(seg: Column, errors: Column) -> Column:
+    """The indices of the codewords near a segment."""
+    return F.transform(errors, lambda e: F.shiftright(seg.bitwiseXOR(e), 11))
 
 
 def _most_unlike(threshold: float) -> int:
@@ -230,12 +221,33 @@ def _most_unlike(threshold: float) -> int:
     return SKETCH
 
 
-def candidate_pairs(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): distinct pairs of classes, a < b, that share a key and whose sketches agree."""
-    x, y = (keys.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("cls", "s0", "s1"))) for p in "xy")
-    unlike = F.bit_count(F.col("xs0").bitwiseXOR(F.col("ys0"))) + F.bit_count(F.col("xs1").bitwiseXOR(F.col("ys1")))
-    met = x.join(y, "key").where((F.col("xcls") < F.col("ycls")) & (unlike <= _most_unlike(threshold)))
-    return met.select(F.col("xcls").alias("a"), F.col("ycls").alias("b")).distinct()
+def candidate_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): distinct pairs of ``classes`` (cls, segs, own, s0, s1), a < b, that share a key and whose sketches agree.
+
+    A key is a segment's number, its minimum hashes and one of the one or six indices of codewords near it, which a join with the fixed table of syndromes
+    gives. How many classes have the same number and minimum hashes is counted first. Those of one class only are left out; up to
+    MANY are joined by these and their indices compared in the join's few results; larger groups are split by the index before they are joined, each row under all its keys.
+    """
+    table = F.broadcast(classes.sparkSession.createDataFrame([(s, e) for s, e in decoding_table().items()], "syn int, errors array<int>"))  # 2048 rows, whatever the data
+    seg = classes.select("cls", "s0", "s1", F.posexplode(F.arrays_zip("segs", "own")).alias("i", "z")).select(
+        F.xxhash64("i", "z.own").alias("key"), "cls", "s0", "s1", F.col("z.segs").alias("seg"))
+    counts = written(seg.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    few, many = (seg.join(_small(counts.where(c).select("key"), F.lit(16)), "key", "left_semi") for c in (F.col("n") <= MANY, F.col("n") > MANY))
+
+    def decoded(df: DataFrame, seg_: str, out: str) -> DataFrame:
+        return df.withColumn("syn", _syndrome_of(F.col(seg_))).join(table, "syn").withColumn(out, _indices(F.col(seg_), F.col("errors"))).drop("syn", "errors")
+
+    def met(rows: DataFrame) -> DataFrame:
+        x, y = (rows.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("cls", "s0", "s1", "seg"))) for p in "xy")
+        unlike = F.bit_count(F.col("xs0").bitwiseXOR(F.col("ys0"))) + F.bit_count(F.col("xs1").bitwiseXOR(F.col("ys1")))
+        # a codeword within 4 bits of both is out of reach beyond 8
+        near = (F.col("xcls") < F.col("ycls")) & (F.bit_count(F.col("xseg").bitwiseXOR(F.col("yseg"))) <= 8) & (unlike <= _most_unlike(threshold))
+        return x.join(y, "key").where(near).select(F.col("xcls").alias("a"), F.col("ycls").alias("b"), "xseg", "yseg")
+
+    direct = decoded(decoded(met(few), "xseg", "xi"), "yseg", "yi").where(F.arrays_overlap("xi", "yi")).select("a", "b")
+    keyed = decoded(many, "seg", "near").withColumn("index", F.explode("near"))
+    split = met(keyed.select(F.xxhash64("key", "index").alias("key"), "cls", "s0", "s1", "seg")).select("a", "b")
+    return direct.unionAll(split).distinct()
 
 
 def _verify_batches(threshold: float, shingle: int):
@@ -254,13 +266,12 @@ def links(records: DataFrame, *, threshold: float = THRESHOLD, shingle: int = SH
     Both are written once to the shared folder. Null, blank and short texts are in neither; a key delivered again
     with the same text counts once, a key with several texts is a member of each text's class.
     """
-    spark = records.sparkSession
     prints = fingerprints(records, segments, exact, shingle, least_words)
     first = [F.first(c).alias(c) for c in ("segs", "own", "s0", "s1")]
     prints = written(prints, "prints")
     members = prints.select("k", "cls").distinct()
     classes = prints.groupBy("cls").agg(F.min("k").alias("rep"), *first)
-    pairs = written(candidate_pairs(keys_of(classes, spark), threshold), "pairs")
+    pairs = written(candidate_pairs(classes, threshold), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = written(members.join(_small(ids, F.lit(16)), "cls").groupBy("cls").agg(F.min("k").alias("k")), "wanted")
     texts = records.join(_small(wanted, F.length("k") + 24), "k").select("cls", "k", "t")

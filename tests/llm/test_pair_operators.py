@@ -71,6 +71,13 @@ def test_similar_pairs_match_brute_force(spark):
     assert neardup.similar_pairs(recs.where("false")).count() == 0 and neardup.similar_groups(recs.where("false")).count() == 0
 
 
+def test_large_groups_split_by_codewords_give_the_same_pairs(spark, monkeypatch):
+    recs = neardup.records_of((spark.createDataFrame([r[:2] for r in fixture()], "id string, content string"), "id", "content"))
+    whole = {(r.a, r.b) for r in neardup.similar_pairs(recs).collect()}
+    monkeypatch.setattr(neardup, "MANY", 1)
+    assert {(r.a, r.b) for r in neardup.similar_pairs(recs).collect()} == whole and len(whole) > 40
+
+
 def test_recall_at_the_threshold():
     """Pairs right above a similarity of 0.6 with a word overlap of about 0.7: at least 99.5 % share a key."""
     r, table, pairs_ = random.Random(4), neardup.decoding_table(), []
