@@ -254,7 +254,7 @@ def _declines(sentence: str, forms: list[re.Pattern[str]]) -> bool:
     return any(d.search(s) for d in forms) and not _NOT_DECLINING.search(s)
 
 
-_ADVICE = re.compile(r"\b(?:you could|you may|please (?:contact|ask|consult|try|speak)|try (?:asking|another|something)|let me know|ask .* directly|it may touch on|contact a|consult|instead\W*$|my instructions|i do not have|consulte|pruebe|pregunte|intente|puede (?:preguntar|consultar)|vui long|hay thu|ban co the|lien he|hoi |such advice|has to come from|es asunto de|do .* quyet dinh)")
+_ADVICE = re.compile(r"\b(?:you could|you may|please (?:contact|ask|consult|try|speak)|try (?:asking|another|something)|let me know|ask .* directly|contact a|consult|instead\W*$|consulte|pruebe|pregunte|intente|puede (?:preguntar|consultar)|vui long|hay thu|ban co the|lien he|hoi )")
 
 
 def opening(answer: str) -> tuple[str, str, bool, bool, bool]:
